@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from linkweave.llm import quality
+from linkweave.llm import licenses, lines, packing, quality, simhash
 
 QUERIES: dict[str, Callable] = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_license_scan": licenses.op2_license_scan,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.OP2_SQL,
+    "op4_line_dedup": lines.OP4_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
