@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from linkweave.llm import html, language, licenses, lines, packing, pieces, quality, simhash, toxicity
+from linkweave.llm import html, jpeg, language, licenses, lines, packing, pieces, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_progressive_jpeg": jpeg.op3_progressive_jpeg,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_language_id": language.op5_language_id,
     "op6_html_extraction": html.op6_html_extraction,
