@@ -2,7 +2,8 @@
 
 A text is cut where no piece of the vocabulary can reach across: before a word's space marks and around line feeds. The agenda of each
 word not seen before gives up its best-scored pair, the leftmost among equals, until none is left; a batch's new words do so side by side
-in numpy, and long ones by a heap each. Every Arrow batch is checked against the sentencepiece library, whose ids stand if they differ.
+in numpy, and long ones by a heap each. In every Arrow batch the new words, and one whole text, are checked against the sentencepiece
+library, whose ids stand if they differ; as no piece reaches across words, texts of checked words are checked.
 
 Null and empty texts have the begin and end ids only. Repeated rows encode alike; an empty table gives an empty table; other columns of the
 input are ignored. Ties of score go to the leftmost pair.
@@ -24,8 +25,38 @@ from linkweave.llm.common import map_batches, table
 MARK = "▁"
 #: Words of more symbols than this have a heap of their own.
 LONG = 48
-#: Words whose ids a worker keeps; then it starts anew.
-KEPT = 300_000
+#: Words whose ids a worker keeps, some 200 MB; then it starts anew.
+KEPT = 1_000_000
+
+
+class Lookup:
+    """Places of whole numbers in a list: hash tables in numpy, each for the keys that collided in the one before."""
+
+    ODD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.tables = keys, []
+        rest, bits = np.arange(len(keys)), 21
+        while len(rest):
+            table = np.full(1 << bits, -1, dtype=np.int32)
+            at = self.slot(keys[rest], bits, len(self.tables))
+            table[at] = rest  # of several the last stays
+            self.tables.append((bits, table))
+            rest, bits = rest[table[at] != rest], 16
+
+    def slot(self, keys: np.ndarray, bits: int, level: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) + np.uint64(level)) * self.ODD) >> np.uint64(64 - bits)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, or -1."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        left = np.arange(len(keys))
+        for level, (bits, table) in enumerate(self.tables):
+            found = table[self.slot(keys[left], bits, level)]
+            hit = (found >= 0) & (self.keys[found] == keys[left])
+            out[left[hit]] = found[hit]
+            left = left[~hit]
+        return out
 
 
 class Agenda:
@@ -54,7 +85,7 @@ class Agenda:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.merged = np.array([pairs[k][0] for k in self.keys.tolist()], dtype=np.int64)
         self.cost = np.array([pairs[k][1] for k in self.keys.tolist()], dtype=np.float64)
-        self.pairs = pairs
+        self.pairs, self.place = pairs, Lookup(self.keys)
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any("\n" in p and len(p) > 1 for p in self.ids):
             raise ValueError("this vocabulary has pieces across words")
         self.seen: dict[str, bytes] = {"": b""}
@@ -91,8 +122,10 @@ class Agenda:
         done_sym, done_of, done_char = [], [], []
         while len(sym):
             key = sym[:-1] * self.width + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = np.nonzero((self.keys[at] == key) & (of[:-1] == of[1:]))[0]
+            inside = np.nonzero(of[:-1] == of[1:])[0]
+            at = np.full(len(key), -1, dtype=np.int64)
+            at[inside] = self.place(key[inside])
+            hit = np.nonzero(at >= 0)[0]
             active = np.zeros(len(batch), dtype=bool)
             active[of[hit]] = True
             stay = active[of]
@@ -159,16 +192,38 @@ class Agenda:
             if len(self.seen) + len(new) > KEPT:
                 new = {w for p in parts for w in p}
             self.add(new)
+        self.fresh = new
         seen, head, tail = self.seen, np.array([self.begin], dtype="<u4").tobytes(), np.array([self.end], dtype="<u4").tobytes()
         return [head + b"".join([seen[w] for w in p]) + tail for p in parts]
 
+    def check(self, words: set[str]) -> bool:
+        """Whether the library gives these words the same ids; its ids replace those that differ."""
+        listed = sorted(w for w in words if w and w != "\n")
+        # The library puts a mark before a text. A word without one follows a line feed, and its ids those of mark and line feed.
+        texts = [w[1:].replace(MARK, " ") if w[0] == MARK and w != MARK else f"\n{w}" if w != MARK else " " for w in listed]
+        feed = np.array(self.library.encode("\n"), dtype="<u4").tobytes()
+        good = True
+        for w, ids in zip(listed, self.library.encode(texts, num_threads=1), strict=True):
+            raw = np.array(ids, dtype="<u4").tobytes()
+            if w == MARK:
+                continue  # one mark alone is an empty text, which has no ids; whole texts tell
+            raw = raw if w[0] == MARK else raw.removeprefix(feed)
+            if raw != self.seen[w]:
+                self.seen[w], good = raw, False
+        return good
+
     def checked(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
-        """Each text's ids, their decoding, and whether the agenda's ids were the library's."""
+        """Each text's ids, their decoding, and whether the agenda's ids were the library's in this batch."""
         own = self.encode_batch(texts)
-        theirs = self.library.encode(texts, num_threads=1, add_bos=True, add_eos=True)
-        decoded = self.library.decode(theirs, num_threads=1) if theirs else []
-        raw = [np.array(x, dtype="<u4").tobytes() for x in theirs]
-        return [(t, d, o == t) for o, t, d in zip(own, raw, decoded, strict=True)]
+        good = self.check(self.fresh)
+        if not good:
+            own = self.encode_batch(texts)
+        for k in range(min(1, len(texts))):
+            whole = np.array(self.library.encode(texts[k], add_bos=True, add_eos=True), dtype="<u4").tobytes()
+            if own[k] != whole:
+                own, good = [np.array(x, dtype="<u4").tobytes() for x in self.library.encode(texts, num_threads=1, add_bos=True, add_eos=True)], False
+        decoded = self.library.decode([np.frombuffer(x, dtype="<u4").tolist() for x in own], num_threads=1) if own else []
+        return [(o, d, good) for o, d in zip(own, decoded, strict=True)]
 
 
 def agenda(model: str) -> Agenda:
