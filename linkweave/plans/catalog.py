@@ -335,7 +335,7 @@ for _name in FOLD_KEYS:
 
 @query(
     "fold_evidence",
-    f"""SELECT s1_id, cand_id, string_agg(DISTINCT channel, ',' ORDER BY channel) AS sources FROM (SELECT s1_id, unnest(cands) AS cand_id FROM fold_shared) p
+    f"""SELECT s1_id, cand_id, string_agg(DISTINCT q.channel, ',' ORDER BY q.channel) AS sources FROM (SELECT s1_id, unnest(cands) AS cand_id FROM fold_shared) p
     JOIN ({FOLD_KEYS['shared'][0]}) q ON q.entity_id = s1_id JOIN ({FOLD_KEYS['shared'][1]}) t ON t.entity_id = cand_id AND t.family = q.family AND t.key = q.key GROUP BY s1_id, cand_id""",
 )
 def fold_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
