@@ -216,7 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     if not ids:
         return learn([])
     table_of = docs.sparkSession.createDataFrame(list(ids.items()), "id long, toxic int")
-    found = docs.join(F.broadcast(table_of), F.col("doc_id") == F.col("id"), "inner").select("id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    # Bounded: TOXIC + CLEAN ids.
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = own.join(F.broadcast(table_of), "id")
     sample = {r.id: (r.text, r.toxic) for r in found.toLocalIterator()}
     return learn([sample[k] for k in sorted(sample)])
 
