@@ -46,6 +46,10 @@ NOTICES = (
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
     ("this work is licensed under a creative commons attribution", "cc"),
+    ("licensed under cc by 4 0", "cc"),
+    ("licensed under cc by nc 4 0", "cc"),
+    ("licensed under cc by sa 4 0", "cc"),
+    ("all rights reserved", "reserved"),
 )
 
 

@@ -3,10 +3,11 @@
 Tokens are runs of letters. A token's features are its lower-case word and the word's beginnings of 3 to 10 letters, of which those count
 that documents labelled toxic have significantly more often. Tokens of toxic documents with such a feature are the labelled toxic tokens; the
 field's emissions and transitions are fitted to them by likelihood on windows around them and on plain ones. Learning is bounded: at most
-TOXIC and CLEAN labelled documents, those with the least hash of the id, of the rows whose crc32 of the id as text is no multiple of 5.
+TOXIC and CLEAN labelled documents, those with the least hash of the id, of the rows whose crc32 of the id as text is no multiple of 5. Of
+near copies in that sample one is learned from, else the words of a much copied document would seem to tell.
 
 Scoring reads whole texts. Long stretches of tokens without features are crossed by powers of one matrix, so forward and backward sums are
-exact. The score is a logistic of the marginals' greatest and sum, fitted on the same sample. Null and empty texts and those without such
+exact. The score is a logistic of the greatest marginal and the sum of those of tagged tokens, fitted on the same sample. Null and empty texts and those without such
 tokens get the score of no evidence. Without labels of both kinds every score is 0. Repeated rows score alike; an empty table gives
 an empty table; other columns are ignored.
 """
@@ -14,6 +15,7 @@ an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +30,9 @@ FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that learning uses at most, by label.
 TOXIC, CLEAN = 1500, 4500
 #: Least documents of a feature, and least significance of its lead in toxic ones (log of a binomial tail, base e).
-SUPPORT, SIGNIFICANCE = 5, 12.0
+SUPPORT, SIGNIFICANCE = 5, 12.5
+#: Least hashes of word triples by which near copies in the sample are told, each of another permutation.
+SIGNS = 6
 #: Features kept at most, the most significant first.
 FEATURES = 4000
 WINDOW = 3
@@ -114,10 +118,15 @@ class Field:
 
     def score(self, marginals: list[float]) -> float:
         a, b, c = self.link
-        x = a + b * max(marginals, default=0.0) + c * min(sum(marginals), 4.0)
+        x = a + b * max(marginals, default=0.0) + c * tagged(marginals)
         return float(1 / (1 + np.exp(-x)))
 
 
+def tagged(marginals: list[float]) -> float:
+    """The sum of the marginals of tokens tagged toxic, 4 at most."""
+    return min(sum(p for p in marginals if p >= 0.5), 4.0)
+
+
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
@@ -156,8 +165,32 @@ def fit_field(windows: list[list[tuple[list[int], int]]], n_features: int, round
     return theta, bias, move
 
 
+def signs(text: str) -> list[int]:
+    """Min-hashes of the text's word triples; near copies share most."""
+    w = text.lower().encode("utf-8", "surrogatepass").split()
+    if not w:
+        return []
+    h = np.array([zlib.crc32(b" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))], dtype=np.uint64)
+    odd = (np.arange(1, SIGNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return [int((((h + np.uint64(k)) * odd[k]) >> np.uint64(20)).min()) for k in range(SIGNS)]
+
+
+def without_copies(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The first text of each group of near copies: those that share two signs in a row with one kept before."""
+    kept, seen = [], set()
+    for text, y in sample:
+        own = signs(text)
+        pairs = {(k, own[k], own[k + 1]) for k in range(len(own) - 1)}
+        if pairs and not pairs.isdisjoint(seen):
+            continue
+        seen |= pairs
+        kept.append((text, y))
+    return kept
+
+
 def learn(sample: list[tuple[str, int]]) -> Field:
     """A field from (text, label) of a bounded sample, in a fixed order."""
+    sample = without_copies(sample)
     none = Field({}, -2.0, np.zeros((2, 2)), (-50.0, 0.0, 0.0))
     n_toxic = sum(y for _, y in sample)
     if not n_toxic or n_toxic == len(sample):
@@ -193,7 +226,7 @@ def learn(sample: list[tuple[str, int]]) -> Field:
         ws = TOKEN.findall(t)
         found = [(i, e) for i, w in enumerate(ws) if (e := field.evidence(w)) is not None]
         p = field.marginals([i for i, _ in found], [e for _, e in found], len(ws)) if found else []
-        evidence.append((1.0, max(p, default=0.0), min(sum(p), 4.0)))
+        evidence.append((1.0, max(p, default=0.0), tagged(p)))
     field.link = tuple(logistic(np.array(evidence), np.array([y for _, y in sample])))
     return field
 
