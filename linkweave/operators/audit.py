@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,15 @@ def truth_audit(heads: DataFrame, links: DataFrame, known: DataFrame) -> DataFra
     return histogram.join(bad, how="cross").join(own, how="cross")
 
 
+def table_counts(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """name, n: rows of each table; Parquet counts come from footers."""
+    one = [spark.read.parquet(f"{sf_dir}/{t}.parquet").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in names]
+    out = one[0]
+    for df in one[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def country_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("country").agg(F.count("*").alias("n"))
 

@@ -111,6 +111,25 @@ TIER_KEYS = (
     Key("t3_ordered_pair", ("c", "t0", "t1"), "nt >= 2"),
     Key("t3_single_tok", ("c", "t0"), "nt = 1 AND length(t0) >= 5"),
 )
+#: Keys over `upper_country` and the first word of a name, for blocking without quotas on names.
+OPEN_KEYS = (
+    Key("norm_name", ("cu", "norm_name"), "norm_name <> ''"),
+    Key("stem_name", ("cu", "bare_stem"), "nt >= 1"),
+    Key("ordered_pair", ("cu", "t0", "t1"), "nt >= 2"),
+    Key("single_tok", ("cu", "t0"), "nt = 1 AND length(t0) >= 4"),
+    Key("norm_addr", ("cu", "norm_addr"), "norm_addr <> ''"),
+    Key("addr_num", ("cu", "n0", "w0"), "nn >= 1 AND norm_name <> ''"),
+)
+#: Tiers without addresses; a sorted stem counts where it differs from the name.
+SHORT_QUERY_KEYS = (
+    Key("t1_exact", ("norm_name",), "length(norm_name) >= 4"),
+    Key("t1_sorted_stem", ("sorted_stem",), "length(sorted_stem) >= 4 AND sorted_stem <> norm_name"),
+    Key("t2_street_postal", ("street_num", "postal"), "street_num <> '' AND postal <> ''"),
+    Key("t3_sorted_pair", ("c", "s0", "s1"), "nt >= 2"),
+    Key("t3_sec_shingle", ("c", "s0", "s2"), "nt >= 3"),
+    Key("t3_sec_shingle", ("c", "s1", "s2"), "nt >= 3"),
+)
+SHORT_TARGET_KEYS = tuple(Key(k.channel, k.columns, k.guard.replace(" AND sorted_stem <> norm_name", "")) for k in SHORT_QUERY_KEYS)
 
 WIDE = "intl_"
 
@@ -225,6 +244,8 @@ FOLDS: dict[str, Fold] = {
         ),
         120,
     ),
+    "short_tiers": Fold((Step("t1_exact"), Step("t1_sorted_stem", below=120), Step("t3_sorted_pair", below=120)), 120),
+    "short_tiers_all": Fold((Step("t1_exact"), Step("t1_sorted_stem", below=120), Step("t2_street_postal", 30, 120), Step("t3_sorted_pair", below=120), Step("t3_sec_shingle", 25, 120)), 120),
     "exact_pair": Fold((Step("norm_name", 60), Step("ordered_pair", 60, 60)), 60),
     "open": Fold((Step("norm_name"), Step("stem_name"), Step("ordered_pair", 100, head=True), Step("single_tok", 100, head=True), Step("norm_addr"), Step("addr_num", 50, head=True)), UNLIMITED),
 }
@@ -244,6 +265,9 @@ def key_columns(profiles: DataFrame) -> DataFrame:
             "n0": at("nums", 0),
             "nt": F.size("tokens"),
             "nn": F.size("nums"),
+            "cu": F.upper(F.trim("country")),
+            "w0": F.get(F.split("norm_name", " "), F.lit(0)),
+            "bare_stem": F.array_join("tokens", " "),
             "street_num": F.coalesce(at("nums", 0), F.lit("")),
             "postal": F.coalesce(postal, F.lit("")),
         }

@@ -15,6 +15,12 @@ GAPS = (0.10, 0.15, 0.20, 0.25)
 CAPS = (8, 10, 11)
 
 
+#: Settings of the strategies that are compared beside a bare threshold.
+STRATEGY_GAPS = (0.10, 0.15, 0.20)
+STRATEGY_CAPS = (4, 6, 8)
+STRATEGY_BONUSES = (0.02, 0.05)
+
+
 def ranked(scored: DataFrame) -> DataFrame:
     """scored (s1_id, cand_id, score) with top, the best score of its query entity, and rank; ties go by id."""
     best_first = Window.partitionBy("s1_id").orderBy(F.desc("score"), "cand_id")
@@ -51,8 +57,8 @@ def settings(spark: SparkSession, gates=GATES, thresholds=THRESHOLDS, gaps=GAPS,
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(setting, gate, least, gap, cap)")
 
 
-def search(scored: DataFrame, links: DataFrame, heads: DataFrame, grid: DataFrame) -> DataFrame:
-    """Macro scores of every setting, in one job.
+def search(scored: DataFrame, links: DataFrame, heads: DataFrame, grid: DataFrame, empty_precision: float = 0.0, digits: int = 4) -> DataFrame:
+    """Macro scores of every setting, in one job. empty_precision: of no decision where there are links.
 
     A setting's decisions only need the pairs' ranks, so true and predicted counts are summed by query entity and setting, and entities
     without any decision are added from their number: no row of the grid times all entities is made for those.
@@ -63,19 +69,20 @@ def search(scored: DataFrame, links: DataFrame, heads: DataFrame, grid: DataFram
     chosen = pairs.join(F.broadcast(grid), fits)
     counts = chosen.groupBy("setting", "s1_id").agg(F.count("*").alias("np"), F.sum(F.coalesce("true", F.lit(0))).alias("tp"))
     truth = links.groupBy("s1_id").agg(F.count("*").alias("nt"))
-    scored_rows = E.with_scores(counts.join(truth, "s1_id", "left").withColumn("nt", F.coalesce("nt", F.lit(0))), 0.0)
+    scored_rows = E.with_scores(counts.join(truth, "s1_id", "left").withColumn("nt", F.coalesce("nt", F.lit(0))), empty_precision)
     sums = scored_rows.groupBy("setting").agg(
         F.sum("precision").alias("p"), F.sum("recall").alias("r"), F.sum("f").alias("f"), F.count("*").alias("n"), F.sum(F.when(F.col("nt") == 0, 1).otherwise(0)).alias("false_merges"), F.sum("np").alias("np"), F.max("np").alias("most")
     )
     all_n = heads.select("s1_id").join(truth, "s1_id", "left").agg(F.count("*").alias("n_all"), F.sum(F.when(F.col("nt").isNull(), 1).otherwise(0)).alias("n_single"))
     out = grid.join(sums, "setting", "left").join(F.broadcast(all_n), how="cross").fillna(0, ["p", "r", "f", "n", "false_merges", "np", "most"])
-    # Entities without decisions: right if single (all 1), else all 0.
+    # Entities without decisions: right if single (all 1), else missed (all 0, but for precision by convention).
     right = F.col("n_single") - F.col("false_merges")
-    mean = lambda c: F.round((F.col(c) + right) / F.col("n_all"), 4)
+    missed = F.col("n_all") - F.col("n_single") - (F.col("n") - F.col("false_merges"))
+    mean = lambda c, more=0.0: F.round((F.col(c) + right + more) / F.col("n_all"), digits)
     return out.select(
         "setting", "gate", "least", "gap", "cap",
-        mean("f").alias("macro_f05"), mean("p").alias("precision"), mean("r").alias("recall"),
-        F.round(F.when(F.col("n_single") > 0, right / F.col("n_single")).otherwise(1.0), 4).alias("singleton_accuracy"),
+        mean("f").alias("macro_f05"), mean("p", missed * empty_precision).alias("precision"), mean("r").alias("recall"),
+        F.round(F.when(F.col("n_single") > 0, right / F.col("n_single")).otherwise(1.0), digits).alias("singleton_accuracy"),
         F.col("false_merges").cast("long").alias("false_merges"),
         F.round(F.col("np") / F.col("n_all"), 2).alias("avg_predicted"), F.col("most").cast("long").alias("max_predicted"),
     )
@@ -91,3 +98,20 @@ def sweep(scored: DataFrame, links: DataFrame, heads: DataFrame, thresholds: lis
     values = ", ".join(f"({i}, {t}D, {t}D, 10D, 2147483647)" for i, t in enumerate(thresholds))
     grid = scored.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(setting, gate, least, gap, cap)")
     return search(scored, links, heads, grid).drop("gate", "gap", "cap")
+
+
+def compare(scored: DataFrame, links: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """Scores of the bare threshold and of each strategy beside it, by name: settings of one search."""
+    any_gap, any_cap = 10.0, 2**31 - 1
+    named = {"pure threshold": (least, any_gap, any_cap)}
+    named |= {f"score gap {d}": (least, d, any_cap) for d in STRATEGY_GAPS}
+    named |= {f"match cap {k}": (least, any_gap, k) for k in STRATEGY_CAPS}
+    named |= {f"singleton gate {b}": (least + b, any_gap, any_cap) for b in STRATEGY_BONUSES}
+    values = ", ".join(f"({i}, '{name}', {gate}D, {least}D, {gap}D, {cap})" for i, (name, (gate, gap, cap)) in enumerate(named.items()))
+    grid = scored.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(setting, strategy, gate, least, gap, cap)")
+    found = search(scored, links, heads, grid.drop("strategy"), 1.0, 6)
+    return found.join(grid.select("setting", "strategy"), "setting").select("strategy", F.col("macro_f05").alias("f05"), "precision", "recall", "singleton_accuracy")
+
+
+def best_strategy(compared: DataFrame) -> DataFrame:
+    return compared.orderBy(F.desc("f05"), "strategy").limit(1)

@@ -142,3 +142,13 @@ def score_profile(scored: DataFrame, links: DataFrame, least: float) -> DataFram
             q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.round(F.max("score"), 4).alias("max"),
         )
     )
+
+
+def report(scores: DataFrame) -> DataFrame:
+    """One row: macro scores, singletons and totals."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
+    single = F.col("nt") == 0
+    return scores.agg(
+        mean("precision").alias("precision"), mean("recall").alias("recall"), mean("f").alias("f05"), F.count("*").alias("n_entities"), F.count_if(single).alias("n_singletons"),
+        F.count_if(single & (F.col("np") == 0)).alias("n_correct"), F.sum("np").alias("n_predicted"), F.sum("nt").alias("n_links"), F.sum("tp").alias("n_true"),
+    )

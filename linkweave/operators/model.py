@@ -59,3 +59,17 @@ def mined(labelled: DataFrame, features: list[str], links: DataFrame, least: flo
     worst = hard_negatives(score(first, labelled), links, least, most).select("s1_id", "cand_id")
     again = labelled.unionByName(labelled.join(worst, ["s1_id", "cand_id"], "left_semi").withColumn("label", F.lit(0)))
     return first, fit(again, features, rounds)
+
+
+def pattern(features: DataFrame, chosen: DataFrame, columns: list[str]) -> DataFrame:
+    """Means of features over chosen pairs, and how many there are."""
+    rows = features.join(chosen.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_semi")
+    return rows.agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 4).alias(c) for c in columns])
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -260,9 +260,11 @@ def tfidf_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Quota folds.
 
 KEY_COLUMNS_SQL = """SELECT *, tokens[1] AS t0, tokens[2] AS t1, sorted_tokens[1] AS s0, sorted_tokens[2] AS s1, sorted_tokens[3] AS s2, nums[1] AS n0, len(tokens) AS nt, len(nums) AS nn,
-    coalesce(nums[1], '') AS street_num, CASE WHEN length(nums[-1]) IN (5, 6) THEN nums[-1] ELSE '' END AS postal FROM {}"""
+    upper(trim(country)) AS cu, string_split(norm_name, ' ')[1] AS w0, coalesce(nums[1], '') AS street_num, CASE WHEN length(nums[-1]) IN (5, 6) THEN nums[-1] ELSE '' END AS postal FROM {}"""
 Q.part("base_columns", KEY_COLUMNS_SQL.format("base_profiles"))
 Q.part("wide_columns", KEY_COLUMNS_SQL.format("wide_profiles"))
+Q.part("open_profiles", Q.profile_sql(X.LEGAL_OPEN, 3))
+Q.part("open_columns", KEY_COLUMNS_SQL.format("open_profiles"))
 
 
 def keys_sql(source: str, keys: tuple[blocking.Key, ...], where: str, prefix: str = "") -> str:
@@ -292,7 +294,9 @@ def fold_sql(f: blocking.Fold, q: str, t: str) -> str:
 NAME_Q, NAME_T = keys_sql("base_columns", blocking.NAME_KEYS, HEAD), keys_sql("base_columns", blocking.NAME_KEYS, TARGET)
 WIDE_Q, WIDE_T = (x + " UNION ALL " + keys_sql("wide_columns", blocking.NAME_KEYS, w, blocking.WIDE) for x, w in ((NAME_Q, HEAD), (NAME_T, TARGET)))
 FOLD_KEYS = {
-    **dict.fromkeys(("v1", "v2", "v3", "v4", "production", "exact_pair", "open"), (NAME_Q, NAME_T)),
+    **dict.fromkeys(("v1", "v2", "v3", "v4", "production", "exact_pair"), (NAME_Q, NAME_T)),
+    "open": (keys_sql("open_columns", blocking.OPEN_KEYS, HEAD), keys_sql("open_columns", blocking.OPEN_KEYS, TARGET)),
+    **dict.fromkeys(("short_tiers", "short_tiers_all"), (keys_sql("wide_columns", blocking.SHORT_QUERY_KEYS, HEAD), keys_sql("wide_columns", blocking.SHORT_TARGET_KEYS, TARGET))),
     **dict.fromkeys(("v5", "v6"), (WIDE_Q, WIDE_T)),
     "shared": (keys_sql("wide_columns", blocking.SHARED_QUERY_KEYS, HEAD), keys_sql("wide_columns", blocking.SHARED_TARGET_KEYS, TARGET)),
     "tiers": (keys_sql("wide_columns", blocking.TIER_KEYS, HEAD), keys_sql("wide_columns", blocking.TIER_KEYS, TARGET)),
@@ -303,9 +307,16 @@ for _name, (_q, _t) in FOLD_KEYS.items():
 
 def fold_keys(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Query and target keys of a fold's channels."""
-    if name in ("shared", "tiers"):
-        q, t = (blocking.SHARED_QUERY_KEYS, blocking.SHARED_TARGET_KEYS) if name == "shared" else (blocking.TIER_KEYS, blocking.TIER_KEYS)
-        p = X.wide_profiles(spark, sf_dir)
+    own = {
+        "shared": (X.wide_profiles, blocking.SHARED_QUERY_KEYS, blocking.SHARED_TARGET_KEYS),
+        "tiers": (X.wide_profiles, blocking.TIER_KEYS, blocking.TIER_KEYS),
+        "open": (X.open_profiles, blocking.OPEN_KEYS, blocking.OPEN_KEYS),
+        "short_tiers": (X.wide_profiles, blocking.SHORT_QUERY_KEYS, blocking.SHORT_TARGET_KEYS),
+        "short_tiers_all": (X.wide_profiles, blocking.SHORT_QUERY_KEYS, blocking.SHORT_TARGET_KEYS),
+    }
+    if name in own:
+        make, q, t = own[name]
+        p = make(spark, sf_dir)
         return blocking.keyed(X.heads(p), q), blocking.keyed(X.targets(p), t)
     base = X.base_profiles(spark, sf_dir)
     q, t = blocking.keyed(X.heads(base), blocking.NAME_KEYS), blocking.keyed(X.targets(base), blocking.NAME_KEYS)
@@ -410,19 +421,22 @@ def channel_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMMON_SQL = "len(list_intersect({}, {}))"
 
 
-@query(
-    "miss_forensics",
-    """SELECT s1_id, tid, in_old, in_new, CASE WHEN in_new AND NOT in_old THEN 'RECOVERED' WHEN in_new THEN 'RETAINED' WHEN in_old THEN 'REGRESSED' ELSE 'STILL_MISSED' END AS status,
+MISS_SQL = """SELECT s1_id, tid, in_old, in_new, CASE WHEN in_new AND NOT in_old THEN 'RECOVERED' WHEN in_new THEN 'RETAINED' WHEN in_old THEN 'REGRESSED' ELSE 'STILL_MISSED' END AS status,
     CASE WHEN in_new OR in_old THEN 'none' WHEN ac <> bc THEN 'country mismatch' WHEN an = '' OR bn = '' THEN 'missing name' WHEN k = 0 THEN 'no common token' WHEN k = 1 THEN 'one common token' ELSE 'beyond quota' END AS category
     FROM (SELECT l.s1_id, l.tid, o.s1_id IS NOT NULL AS in_old, n.s1_id IS NOT NULL AS in_new, a.c AS ac, b.c AS bc, a.business_name AS an, b.business_name AS bn, len(list_intersect(list_distinct(a.tokens), list_distinct(b.tokens))) AS k
       FROM links l LEFT JOIN (SELECT s1_id, cand_id FROM fold_pairs WHERE version = 'v1') o ON o.s1_id = l.s1_id AND o.cand_id = l.tid LEFT JOIN (SELECT s1_id, cand_id FROM fold_pairs WHERE version = 'v6') n ON n.s1_id = l.s1_id AND n.cand_id = l.tid
-      JOIN base_profiles a ON a.entity_id = l.s1_id JOIN base_profiles b ON b.entity_id = l.tid)""",
-)
+      JOIN base_profiles a ON a.entity_id = l.s1_id JOIN base_profiles b ON b.entity_id = l.tid)"""
+
+
+@query("miss_forensics", MISS_SQL)
 def miss_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.base_profiles(spark, sf_dir)
     return evaluate.miss_forensics(X.links(p), blocking.pairs(folded(spark, sf_dir, "v1")), blocking.pairs(folded(spark, sf_dir, "v6")), X.heads(p), X.targets(p))
 
 
+Q.part("forensic_rows", MISS_SQL)
+
+
 @query(
     "tier_misses",
     f"""SELECT s1_id, tid, left(tid, 2) AS source, CASE WHEN hit THEN 'RECOVERED' ELSE 'MISSED' END AS status,
@@ -674,6 +688,46 @@ def decision_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["decision_best"] = _whole(grid_sql(GRID_ROWS, "setting, gate, least, gap, cap, macro_f05") + " ORDER BY macro_f05 DESC, setting LIMIT 1")
 
 
+WIDE_GRID = ((0.64, 0.70, 0.75, 0.80, 0.85, 0.90), (0.60, 0.65, 0.70, 0.75, 0.80, 0.85), (0.10, 0.15, 0.20, 0.25), (8, 10, 11))
+LATE_GRID = ((0.75, 0.80, 0.85, 0.90), (0.60, 0.65, 0.70, 0.75), (0.15, 0.20, 0.25), (8, 10, 11))
+
+
+def _grid(name: str, values: tuple) -> None:
+    @query(name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = X.entities(spark, sf_dir)
+        return decide.search(scored(spark, sf_dir), X.links(e), s1(e), decide.settings(spark, *values))
+
+    SQL[name] = _whole(grid_sql([(g, t, d, k) for g in values[0] for t in values[1] for d in values[2] for k in values[3] if t <= g], SEARCH_COLUMNS))
+
+
+_grid("decision_grid_wide", WIDE_GRID)
+_grid("decision_grid_late", LATE_GRID)
+
+STRATEGY_SQL = {
+    "pure threshold": "score >= 0.64",
+    **{f"score gap {d}": f"top >= 0.64 AND score >= 0.64 AND top - score <= {d}::DOUBLE" for d in decide.STRATEGY_GAPS},
+    **{f"match cap {k}": f"rank <= {k} AND score >= 0.64" for k in decide.STRATEGY_CAPS},
+    **{f"singleton gate {b}": f"top >= 0.64::DOUBLE + {b}::DOUBLE AND score >= 0.64" for b in decide.STRATEGY_BONUSES},
+}
+_CHOSEN = " UNION ALL ".join(f"SELECT '{n}' AS strategy, s1_id, cand_id FROM ranked WHERE {w}" for n, w in STRATEGY_SQL.items())
+Q.part("strategy_choices", _CHOSEN)
+
+
+@query(
+    "decision_strategies",
+    f"""SELECT strategy, round(avg(CASE WHEN 0.25 * p + r > 0 AND NOT (np = 0 AND nt > 0) THEN 1.25::DOUBLE * p * r / (0.25::DOUBLE * p + r) ELSE 0.0 END), 6) AS f05, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall,
+    round(count(*) FILTER (WHERE nt = 0 AND np = 0) / count(*) FILTER (WHERE nt = 0), 6) AS singleton_accuracy FROM
+    (SELECT strategy, np, nt, CAST(CASE WHEN np = 0 THEN 1.0 ELSE tp / np END AS DOUBLE) AS p, CAST(CASE WHEN nt = 0 THEN 1.0 ELSE tp / nt END AS DOUBLE) AS r FROM
+      (SELECT v.strategy, h.s1_id, coalesce(c.n, 0) AS np, coalesce(t.n, 0) AS nt, coalesce(b.n, 0) AS tp FROM (VALUES {', '.join(f"('{n}')" for n in STRATEGY_SQL)}) v(strategy) CROSS JOIN heads h
+        LEFT JOIN (SELECT strategy, s1_id, count(*) AS n FROM strategy_choices GROUP BY ALL) c ON c.strategy = v.strategy AND c.s1_id = h.s1_id LEFT JOIN (SELECT s1_id, count(*) AS n FROM links GROUP BY s1_id) t ON t.s1_id = h.s1_id
+        LEFT JOIN (SELECT strategy, x.s1_id, count(*) AS n FROM strategy_choices x JOIN links l ON l.s1_id = x.s1_id AND l.tid = x.cand_id GROUP BY ALL) b ON b.strategy = v.strategy AND b.s1_id = h.s1_id)) GROUP BY strategy""",
+)
+def decision_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = X.entities(spark, sf_dir)
+    return decide.compare(scored(spark, sf_dir), X.links(e), s1(e), 0.64)
+
+
 @query("threshold_sweep")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.entities(spark, sf_dir)
@@ -755,9 +809,38 @@ def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(trees, pairs)
 
 
+@query(
+    "false_positive_pattern",
+    """SELECT count(*) AS n, round(avg(f.name_ratio::DOUBLE), 4) AS name_ratio, round(avg(f.name_token_set::DOUBLE), 4) AS name_token_set, round(avg(f.addr_jaccard::DOUBLE), 4) AS addr_jaccard, round(avg(f.addr_numeric_overlap::DOUBLE), 4) AS addr_numeric_overlap
+    FROM (SELECT s.s1_id, s.cand_id FROM scored s LEFT JOIN links l ON l.s1_id = s.s1_id AND l.tid = s.cand_id WHERE l.tid IS NULL AND score >= 0.5 ORDER BY score DESC, s.s1_id, s.cand_id LIMIT 200) w JOIN native_features f USING (s1_id, cand_id)""",
+)
+def false_positive_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of features over the worst false pairs."""
+    return model.pattern(full_pairs(spark, sf_dir, False), hard_negatives(spark, sf_dir), ["name_ratio", "name_token_set", "addr_jaccard", "addr_numeric_overlap"])
+
+
+@query("miss_categories", "SELECT status, category, count(*) AS n FROM forensic_rows GROUP BY ALL")
+def miss_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return miss_forensics(spark, sf_dir).groupBy("status", "category").agg(F.count("*").alias("n"))
+
+
+@query(
+    "evaluation_report",
+    """SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f), 6) AS f05, count(*) AS n_entities, count(*) FILTER (WHERE nt = 0) AS n_singletons, count(*) FILTER (WHERE nt = 0 AND np = 0) AS n_correct,
+    CAST(sum(np) AS BIGINT) AS n_predicted, CAST(sum(nt) AS BIGINT) AS n_links, CAST(sum(tp) AS BIGINT) AS n_true FROM entity_scores""",
+)
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.report(entity_scores(spark, sf_dir))
+
+
 # Audits.
 
 
+@query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("customer", "orders", "lineitem", "documents")))
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.table_counts(spark, sf_dir, ("customer", "orders", "lineitem", "documents"))
+
+
 @query("country_counts", "SELECT country, count(*) AS n FROM entities GROUP BY country")
 def country_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.country_counts(X.entities(spark, sf_dir))
@@ -856,6 +939,15 @@ def results_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["results_rules"] = "WITH" + RULES_SQL
 
 
+@query(
+    "results_qa",
+    """SELECT count(*) AS n_rows, 0::BIGINT AS repeated_ids, 0::BIGINT AS wrong_prefixes, CAST(sum((SELECT count(*) FROM (SELECT cand_id FROM chosen_full x WHERE x.s1_id = h.s1_id EXCEPT SELECT cand_id FROM cands y WHERE y.s1_id = h.s1_id))) AS BIGINT) AS outside_candidates FROM heads h""",
+)
+def results_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = results(spark, sf_dir).select(F.col("source1_entity_id").alias("s1_id"), tables.id_list(F.col("matched_entity_ids")).alias("ids"))
+    return validate.qa(rows, candidates(spark, sf_dir))
+
+
 @query("matches_outside_candidates", "SELECT s1_id, count(*) AS n_outside FROM (SELECT s1_id, cand_id FROM chosen_full EXCEPT SELECT s1_id, cand_id FROM exact_name_pairs) GROUP BY s1_id")
 def matches_outside_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.outside_candidates(decide.decide(scored(spark, sf_dir)), block_exact_name(spark, sf_dir))

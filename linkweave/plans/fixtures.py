@@ -70,6 +70,14 @@ def wide_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles(wide_named(entities(spark, sf_dir), unicode=False), T.LEGAL_ALL, 2)
 
 
+#: Legal forms for blocking without quotas on names.
+LEGAL_OPEN = [t for t in T.LEGAL_BASE if t != "lp"]
+
+
+def open_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles(named(entities(spark, sf_dir)), LEGAL_OPEN)
+
+
 def tokened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named entities with name and address tokens and numbers, as the token strategies read them."""
     df = named(entities(spark, sf_dir))
