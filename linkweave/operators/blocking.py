@@ -348,11 +348,19 @@ def equal_values(heads: DataFrame, targets: DataFrame, columns: list[str], guard
     return a.join(b, columns).select("s1_id", "cand_id")
 
 
-def shared_tokens(heads: DataFrame, targets: DataFrame, column: str, least: int) -> DataFrame:
-    """s1_id, cand_id, pos: pairs that share a token of so many characters, and the first place of one in the query's list."""
+def shared_tokens(heads: DataFrame, targets: DataFrame, column: str, least: int, cap: int | None = None) -> DataFrame:
+    """s1_id, cand_id, pos: pairs that share a token of so many characters, and the first place of one in the query's list.
+
+    cap: of the soft cap that follows. Once a token's own list has so many targets, later tokens of that query can't count, so they are
+    left out before the lists are joined; frequent tokens are then met once a query row at most.
+    """
     cut = lambda df, name: df.select(F.col("entity_id").alias(name), F.posexplode(column).alias("pos", "tok")).where(F.length("tok") >= least)
     a = cut(heads, "s1_id").groupBy("s1_id", "tok").agg(F.min("pos").alias("pos"))
     b = cut(targets, "cand_id").select("cand_id", "tok").distinct()
+    if cap is not None:
+        sizes = b.groupBy("tok").agg(F.count("*").alias("n"))
+        before = F.max("n").over(Window.partitionBy("s1_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+        a = a.join(sizes, "tok").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < cap).select("s1_id", "tok", "pos")
     return a.join(b, "tok").groupBy("s1_id", "cand_id").agg(F.min("pos").alias("pos"))
 
 

@@ -53,6 +53,16 @@ def test_soft_cap_takes_whole_lists(spark):
     assert B.soft_cap(found, 1).where("s1_id = 't'").count() == 1
 
 
+def test_tokens_left_out_change_nothing(spark):
+    rng = random.Random(7)
+    tokens = [f"t{i}" for i in range(12)]
+    heads = spark.createDataFrame([(f"S1-{i}", [rng.choice(tokens) for _ in range(5)]) for i in range(30)], "entity_id string, toks array<string>")
+    targets = spark.createDataFrame([(f"S2-{i}", [tokens[min(11, int(rng.expovariate(0.4)))] for _ in range(3)]) for i in range(200)], "entity_id string, toks array<string>")
+    for cap in (1, 10, 60, 500):
+        whole, pruned = (sorted(map(tuple, B.soft_cap(B.shared_tokens(heads, targets, "toks", 1, c), cap).collect())) for c in (None, cap))
+        assert whole == pruned and whole
+
+
 def test_postings_hold_the_first_ids_and_count_all(spark):
     keys = spark.createDataFrame([("f", "hot", f"S2-{i:04}") for i in range(500)] + [("f", "cold", "S2-9")], "family string, key string, entity_id string")
     got = {r.key: r for r in B.postings(keys, 150).collect()}
