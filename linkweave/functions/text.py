@@ -144,9 +144,14 @@ def composed(c: Column, unicode: bool) -> Column:
     return nfkc(blank_if_null(c)) if unicode else blank_if_null(c)
 
 
-def normalize_name(c: Column, unicode: bool = True) -> Column:
-    """Noise cut at either end, legal forms shortened, marks to spaces, lower case; other scripts stay."""
-    t = composed(c, unicode)
+def by_word(c: Column, table: dict[str, str]) -> Column:
+    """Whole words by their replacements, in one pass over the parts between single spaces."""
+    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(lookup[w], w)), " ")
+
+
+def name_in_steps(t: Column) -> Column:
+    """Every rule of names, one regular expression after the other."""
     t = F.regexp_replace(t, r"(?U)\s*\|.*", "")
     t = F.regexp_replace(t, r"(?U)^--+\s*", "")
     t = F.regexp_replace(t, r"(?iU)(?<!\w)\.(?:com|org|net|in|co)\b", "")
@@ -155,12 +160,31 @@ def normalize_name(c: Column, unicode: bool = True) -> Column:
     return one_space(marks_to_spaces(whole_words(whole_words(t, DOTTED_FORMS), LONG_FORMS)))
 
 
-def normalize_address(c: Column, unicode: bool = True) -> Column:
-    """Number signs cut, common words written out, marks to spaces, lower case; the order of parts stays."""
-    t = ascii_lower(F.regexp_replace(composed(c, unicode), r"(?U)#+\s*", ""))
+def address_in_steps(t: Column) -> Column:
+    """Every rule of addresses, one regular expression after the other."""
+    t = ascii_lower(F.regexp_replace(t, r"(?U)#+\s*", ""))
     return one_space(marks_to_spaces(whole_words(t, ADDRESS_WORDS)))
 
 
+#: Where a name's or address's rules aren't just words for words: other scripts, marks that rules look at, dots that join words.
+NAME_STEPS = r"[^\x00-\x7F]|[._|&#]|^--"
+ADDRESS_STEPS = r"[^\x00-\x7F]|[#_]|(?i)h\.no|no\.|opp\."
+
+
+def normalize_name(c: Column, unicode: bool = True) -> Column:
+    """Noise cut at either end, legal forms shortened, marks to spaces, lower case; other scripts stay. Plain values take one pass."""
+    t = composed(c, unicode)
+    plain = by_word(one_space(marks_to_spaces(ascii_lower(t))), dict(LONG_FORMS[:-1]))
+    return F.when(t.rlike(NAME_STEPS), name_in_steps(t)).otherwise(plain)
+
+
+def normalize_address(c: Column, unicode: bool = True) -> Column:
+    """Number signs cut, common words written out, marks to spaces, lower case; the order of parts stays. Plain values take one pass."""
+    t = composed(c, unicode)
+    plain = by_word(one_space(marks_to_spaces(ascii_lower(t))), {k: v for k, v in ADDRESS_WORDS if "." not in k})
+    return F.when(t.rlike(ADDRESS_STEPS), address_in_steps(t)).otherwise(plain)
+
+
 def normalize_country(c: Column, aliases: dict[str, str] | None = None) -> Column:
     trimmed = F.trim(blank_if_null(c))
     key = F.lower(trimmed)

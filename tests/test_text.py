@@ -40,6 +40,14 @@ def test_names(spark):
     assert apply(spark, list(NAMES), T.normalize_name) == list(NAMES.values())
 
 
+def test_one_pass_and_steps_agree(spark):
+    rng = random.Random(11)
+    parts = ["st", "St.", "no", "no.", "opp", "h.no", "HN", "s", "Incorporated", "company", "co.", "ltd", "x_y", "-", "--", "/", "#", "&", "|", ",", "é", "12", "private", "l.p.", "ne,", "(fl)", "\t", "  "]
+    values = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 7))) for _ in range(600)]
+    assert apply(spark, values, lambda c: T.normalize_name(c, False)) == apply(spark, values, T.name_in_steps)
+    assert apply(spark, values, lambda c: T.normalize_address(c, False)) == apply(spark, values, T.address_in_steps)
+
+
 def test_names_again_are_the_same(spark):
     once = apply(spark, list(NAMES), T.normalize_name)
     assert apply(spark, once, T.normalize_name) == once
