@@ -42,6 +42,7 @@ RULES = (
     Rule("stop_words", "n_stop_words", "n_words", 30, None),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 500),
     Rule("repeated_words", "n_repeat_words", "n_words", None, 300),
+    Rule("same_word_again", "n_same_again", "n_words", None, 300),
 )
 
 
@@ -65,15 +66,20 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     return let(words, lambda w: let(keyed(w), spans))
 
 
+def same_again(words: Column) -> Column:
+    """Words equal to the one before."""
+    return F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: a == b), lambda same: same))
+
+
 def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words (long), replacing columns of those names."""
+    """df with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words, n_repeat_words, n_same_again (long), replacing columns of those names."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     # Stop words are compared in lower case; the windows keep the case of the text.
     words = space_words(F.col(text))
     lowered = space_words(ascii_lower(body))
     measured = F.struct(
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"), same_again(w).cast("long").alias("n_same_again"))).alias("w"),
         F.size(F.filter(lowered, lambda x: F.rtrim(x, F.lit(".,;:!?#*$%&|<>")).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
     )
@@ -87,6 +93,7 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": F.col("__m.l.dup"),
             "n_stop_words": F.col("__m.n_stop_words"),
             "n_repeat_words": F.col("__m.w.n_repeat_words"),
+            "n_same_again": F.col("__m.w.n_same_again"),
         }
     ).drop("__m")
 
@@ -140,6 +147,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
         CAST(len(list_filter(ws, lambda x: list_contains([{", ".join(f"'{s}'" for s in dict.fromkeys(STOP_WORDS))}],
              rtrim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?#*$%&|<>')))) AS BIGINT) AS n_stop_words,
+        CAST(len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS BIGINT) AS n_same_again,
         coalesce(n_repeat_words, 0) AS n_repeat_words
       FROM w LEFT JOIN n USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
