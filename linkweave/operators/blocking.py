@@ -314,15 +314,19 @@ def tests_of(f: Fold) -> list[str]:
     return sorted({s.test or f.test_channel for s in f.steps if s.frequent is not None})
 
 
+def assemble_all(all_heads: DataFrame, query_keys: DataFrame, target_keys: DataFrame, folds: dict[str, Fold]) -> DataFrame:
+    """s1_id and a column of candidates for each fold, for every query entity, those without any included. Lists are joined once for all."""
+    arrivals = UNLIMITED if any(f.total == UNLIMITED for f in folds.values()) else ARRIVALS
+    channels = list(dict.fromkeys(s.channel for f in folds.values() for s in f.steps))
+    tests = sorted({t for f in folds.values() for t in tests_of(f)})
+    found = hits(query_keys.where(F.col("channel").isin(channels)), postings(target_keys, arrivals), channels, tests, arrivals)
+    rows = all_heads.select(F.col("entity_id").alias("s1_id")).join(found.select("s1_id", *[fold(f).alias(n) for n, f in folds.items()]), "s1_id", "left")
+    return rows.withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in folds})
+
+
 def assemble(all_heads: DataFrame, query_keys: DataFrame, target_keys: DataFrame, f: Fold) -> DataFrame:
     """s1_id, cands: the candidates of every query entity, those without any included."""
-    arrivals = UNLIMITED if f.total == UNLIMITED else ARRIVALS
-    channels = list(dict.fromkeys(s.channel for s in f.steps))
-    wanted = query_keys.where(F.col("channel").isin(channels))
-    families = target_keys.where(F.col("family").isin(sorted({c for c in channels} | {"pair", WIDE + "pair"})))
-    found = hits(wanted, postings(families, arrivals), channels, tests_of(f), arrivals)
-    none = F.array().cast("array<string>")
-    return all_heads.select(F.col("entity_id").alias("s1_id")).join(found.select("s1_id", fold(f).alias("cands")), "s1_id", "left").withColumn("cands", F.coalesce("cands", none))
+    return assemble_all(all_heads, query_keys, target_keys, {"cands": f})
 
 
 def pairs(assembled: DataFrame) -> DataFrame:

@@ -65,6 +65,17 @@ def candidate_recall(candidates: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def recall_by_version(found: DataFrame, links: DataFrame, versions: tuple[str, ...]) -> DataFrame:
+    """A row for each version: links, those that its candidates cover, and the share. found: version, s1_id, cand_id."""
+    hits = found.join(links.select("s1_id", F.col("tid").alias("cand_id")), ["s1_id", "cand_id"], "left_semi").groupBy("version").agg(F.count("*").alias("hit"))
+    names = found.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(f"('{v}')" for v in versions)} AS t(version)")
+    total = links.agg(F.count("*").alias("total_links"))
+    # Names and total are a few rows.
+    rows = names.join(hits, "version", "left").join(F.broadcast(total), how="cross").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    share = F.when(F.col("total_links") > 0, F.col("hit") / F.col("total_links")).otherwise(1.0)
+    return rows.select("version", "total_links", F.col("hit").alias("covered_links"), (F.col("total_links") - F.col("hit")).alias("missing_links"), F.round(share, 6).alias("recall"))
+
+
 def candidate_distribution(assembled: DataFrame, n_targets: DataFrame) -> DataFrame:
     """Candidates a query entity, those without any included. assembled: s1_id, cands; n_targets: one row, n."""
     sizes = assembled.select(F.size("cands").alias("n_c"))

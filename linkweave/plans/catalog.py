@@ -305,8 +305,9 @@ for _name, (_q, _t) in FOLD_KEYS.items():
     Q.part(f"fold_{_name}", fold_sql(blocking.FOLDS[_name], _q, _t))
 
 
-def fold_keys(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Query and target keys of a fold's channels."""
+def fold_keys(spark: SparkSession, sf_dir: str, name: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Query and target keys of a fold's channels; every: of all channels of its specification. v6 has the keys of v1 to v6 then."""
+    used = {s.channel for s in blocking.FOLDS[name].steps}
     own = {
         "shared": (X.wide_profiles, blocking.SHARED_QUERY_KEYS, blocking.SHARED_TARGET_KEYS),
         "tiers": (X.wide_profiles, blocking.TIER_KEYS, blocking.TIER_KEYS),
@@ -314,16 +315,19 @@ def fold_keys(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, D
         "short_tiers": (X.wide_profiles, blocking.SHORT_QUERY_KEYS, blocking.SHORT_TARGET_KEYS),
         "short_tiers_all": (X.wide_profiles, blocking.SHORT_QUERY_KEYS, blocking.SHORT_TARGET_KEYS),
     }
-    if name in own:
-        make, q, t = own[name]
-        p = make(spark, sf_dir)
-        return blocking.keyed(X.heads(p), q), blocking.keyed(X.targets(p), t)
-    base = X.base_profiles(spark, sf_dir)
-    q, t = blocking.keyed(X.heads(base), blocking.NAME_KEYS), blocking.keyed(X.targets(base), blocking.NAME_KEYS)
+    sources = [(*own.get(name, (X.base_profiles, blocking.NAME_KEYS, blocking.NAME_KEYS)), "")]
     if name in ("v5", "v6"):
-        wide = X.wide_profiles(spark, sf_dir)
-        q = q.unionByName(blocking.keyed(X.heads(wide), blocking.NAME_KEYS, blocking.WIDE))
-        t = t.unionByName(blocking.keyed(X.targets(wide), blocking.NAME_KEYS, blocking.WIDE))
+        sources.append((X.wide_profiles, blocking.NAME_KEYS, blocking.NAME_KEYS, blocking.WIDE))
+    found = []
+    for make, q, t, prefix in sources:
+        # Keys of channels that the fold doesn't read are never made.
+        q = tuple(k for k in q if every or prefix + k.channel in used)
+        t = tuple(k for k in t if every or k.looks_up in {x.looks_up for x in q})
+        p = make(spark, sf_dir)
+        found.append((blocking.keyed(X.heads(p), q, prefix), blocking.keyed(X.targets(p), t, prefix)))
+    q, t = found[0]
+    for more_q, more_t in found[1:]:
+        q, t = q.unionByName(more_q), t.unionByName(more_t)
     return q, t
 
 
@@ -350,7 +354,7 @@ for _name in FOLD_KEYS:
     JOIN ({FOLD_KEYS['shared'][0]}) q ON q.entity_id = s1_id JOIN ({FOLD_KEYS['shared'][1]}) t ON t.entity_id = cand_id AND t.family = q.family AND t.key = q.key GROUP BY s1_id, cand_id""",
 )
 def fold_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, t = fold_keys(spark, sf_dir, "shared")
+    q, t = fold_keys(spark, sf_dir, "shared", every=True)
     return blocking.evidence(q, t, blocking.pairs(folded(spark, sf_dir, "shared")))
 
 
@@ -359,7 +363,7 @@ def fold_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT channel, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows, max(n) AS most FROM (SELECT channel, key, count(*) AS n FROM ({NAME_T}) t WHERE (family, key) IN (SELECT family, key FROM ({NAME_Q})) GROUP BY channel, key) GROUP BY channel",
 )
 def channel_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, t = fold_keys(spark, sf_dir, "v1")
+    q, t = fold_keys(spark, sf_dir, "v1", every=True)
     hit = t.join(q.select("family", "key").distinct(), ["family", "key"], "left_semi")
     return hit.groupBy("channel", "key").agg(F.count("*").alias("n")).groupBy("channel").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_rows"), F.max("n").alias("most"))
 
@@ -369,6 +373,14 @@ Q.part("fold_pairs", " UNION ALL ".join(f"SELECT '{v}' AS version, s1_id, unnest
 COVERED_SQL = "SELECT version, count(*) AS n FROM fold_pairs p JOIN links l ON l.s1_id = p.s1_id AND l.tid = p.cand_id GROUP BY version"
 
 
+def version_pairs(spark: SparkSession, sf_dir: str, versions: tuple[str, ...] = VERSIONS) -> DataFrame:
+    """version, s1_id, cand_id of several folds, from lists joined once."""
+    q, t = fold_keys(spark, sf_dir, "v6", every=True)
+    rows = blocking.assemble_all(X.heads(X.entities(spark, sf_dir)), q, t, {v: blocking.FOLDS[v] for v in versions})
+    each = F.array(*[F.struct(F.lit(v).alias("version"), F.col(v).alias("cands")) for v in versions])
+    return rows.select("s1_id", F.explode(each).alias("f")).select("f.version", "s1_id", F.explode("f.cands").alias("cand_id"))
+
+
 def covered(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     links = X.links(X.entities(spark, sf_dir))
     return evaluate.candidate_recall(blocking.pairs(folded(spark, sf_dir, version)), links)
@@ -380,11 +392,8 @@ def covered(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
     FROM (VALUES {', '.join(f"('{v}')" for v in VERSIONS)}) v(version) LEFT JOIN ({COVERED_SQL}) USING (version), (SELECT count(*) AS nl FROM links)""",
 )
 def fold_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for v in VERSIONS:
-        one = covered(spark, sf_dir, v).select(F.lit(v).alias("version"), "total_links", "covered_links", "missing_links", "recall")
-        out = one if out is None else out.unionByName(one)
-    return out
+    links = X.links(X.entities(spark, sf_dir))
+    return evaluate.recall_by_version(version_pairs(spark, sf_dir), links, VERSIONS)
 
 
 @query(
@@ -414,7 +423,7 @@ def strategy_marginal_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT channel, count(*) AS links_found FROM (SELECT DISTINCT l.s1_id, l.tid, q.channel FROM links l JOIN ({FOLD_KEYS['tiers'][0]}) q ON q.entity_id = l.s1_id JOIN ({FOLD_KEYS['tiers'][1]}) t ON t.entity_id = l.tid AND t.family = q.family AND t.key = q.key) GROUP BY channel",
 )
 def channel_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, t = fold_keys(spark, sf_dir, "tiers")
+    q, t = fold_keys(spark, sf_dir, "tiers", every=True)
     return evaluate.recall_by_channel(X.links(X.entities(spark, sf_dir)), q, t)
 
 
@@ -431,7 +440,8 @@ MISS_SQL = """SELECT s1_id, tid, in_old, in_new, CASE WHEN in_new AND NOT in_old
 @query("miss_forensics", MISS_SQL)
 def miss_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.base_profiles(spark, sf_dir)
-    return evaluate.miss_forensics(X.links(p), blocking.pairs(folded(spark, sf_dir, "v1")), blocking.pairs(folded(spark, sf_dir, "v6")), X.heads(p), X.targets(p))
+    found = version_pairs(spark, sf_dir, ("v1", "v6"))
+    return evaluate.miss_forensics(X.links(p), found.where("version = 'v1'"), found.where("version = 'v6'"), X.heads(p), X.targets(p))
 
 
 Q.part("forensic_rows", MISS_SQL)
