@@ -56,42 +56,57 @@ def positional_partial(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).when(F.contains(a, b) | F.contains(b, a), F.lit(1.0)).otherwise(positional_ratio(a, b))
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bits of whole numbers."""
+def places_of(a: str) -> dict[str, int]:
+    """For each character of a, its places as bits of a whole number."""
     places: dict[str, int] = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    row = full
+    return places
+
+
+def common_length(a: str, b: str, places: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bits of whole numbers."""
+    get = (places or places_of(a)).get
+    full = row = (1 << len(a)) - 1
     for c in b:
-        hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
+        hit = row & get(c, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
     """Similarity by insertions and deletions: 1 for equal values, both empty included."""
     total = len(a) + len(b)
-    return 2 * common_length(a, b) / total if total else 1.0
+    return 1.0 if a == b else 2 * common_length(a, b) / total
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter value with a stretch of the longer one of its length, or less at either end."""
+    """The best ratio of the shorter value with a stretch of the longer one of its length, or less at either end.
+
+    From one stretch to the next the common length grows by one at most, so stretches that can't beat the best so far are passed over.
+    """
     if not a or not b:
         return float(a == b)
     if len(a) > len(b):
         a, b = b, a
-    n, letters = len(a), set(a)
-    best = 0.0
-    if n == len(b):
+    n, m = len(a), len(b)
+    if a in b:
+        return 1.0
+    if n == m:
         return ratio(a, b)
-    for start in range(1 - n, len(b)):
-        part = b[max(start, 0) : start + n]
-        if (part[-1] in letters if start <= 0 or len(part) == n else part[0] in letters):
-            best = max(best, ratio(a, part))
-            if best == 1.0:
-                break
-    return best
+    places, best, at = places_of(a), 0, 0
+    while at <= m - n:
+        found = common_length(a, b[at : at + n], places)
+        best = max(best, found)
+        at += max(1, best - found + 1)
+    out = best / n
+    for size in range(n - 1, 0, -1):  # shorter ones, at either end
+        if 2 * size / (n + size) <= out:
+            break
+        for part in (b[:size], b[m - size :]):
+            out = max(out, 2 * common_length(a, part, places) / (n + size))
+    return out
 
 
 def token_sort_ratio(a: str, b: str) -> float:

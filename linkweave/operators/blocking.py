@@ -389,13 +389,19 @@ def token_index(df: DataFrame, column: str) -> DataFrame:
     return df.select("entity_id", F.explode(column).alias("tok")).distinct().groupBy("tok").agg(F.count("*").alias("n_entities"), F.min("entity_id").alias("first_id"))
 
 
-def strategy_stats(heads: DataFrame, found: DataFrame, true_links: DataFrame, n_targets: DataFrame) -> DataFrame:
-    """A row for each strategy: recall of true links, candidates a query entity, reduction of pairs. found: strategy, s1_id, cand_id."""
-    covered = found.join(true_links.withColumnRenamed("tid", "cand_id"), ["s1_id", "cand_id"], "left_semi").groupBy("strategy").agg(F.count("*").alias("covered"))
-    totals = heads.agg(F.count("*").alias("n_s1")).join(true_links.agg(F.count("*").alias("total_links")), how="cross").join(n_targets.agg(F.count("*").alias("n_t")), how="cross")
-    base = found.groupBy("strategy").agg(F.count("*").alias("total_candidates")).join(covered, "strategy", "left")
-    # The totals are one row.
-    out = base.join(F.broadcast(totals), how="cross").withColumn("covered", F.coalesce("covered", F.lit(0)))
+def strategy_stats(heads: DataFrame, found: DataFrame, true_links: DataFrame, targets: DataFrame, strategies: tuple[str, ...]) -> DataFrame:
+    """A row for each strategy that found any pair, and for their union: recall of true links, candidates a query entity, reduction of pairs.
+
+    found: strategy, s1_id, cand_id. Pairs are brought together once, with the strategies that found them, and counted for all.
+    """
+    pairs = found.groupBy("s1_id", "cand_id").agg(F.collect_set("strategy").alias("by"))
+    true = true_links.select("s1_id", F.col("tid").alias("cand_id"), F.lit(True).alias("true"))
+    pairs = pairs.join(true, ["s1_id", "cand_id"], "left").withColumn("true", F.coalesce("true", F.lit(False)))
+    one = lambda on, name: F.struct(F.lit(name).alias("strategy"), F.count_if(on).alias("total_candidates"), F.count_if(on & F.col("true")).alias("covered"))
+    sums = pairs.agg(F.array(*[one(F.array_contains("by", s), s) for s in strategies], one(F.lit(True), "union")).alias("rows"))
+    totals = heads.agg(F.count("*").alias("n_s1")).join(true_links.agg(F.count("*").alias("total_links")), how="cross").join(targets.agg(F.count("*").alias("n_t")), how="cross")
+    # Sums and totals are one row each.
+    out = sums.join(totals, how="cross").select(F.inline("rows"), "n_s1", "total_links", "n_t").where("total_candidates > 0")
     return out.select(
         "strategy",
         F.round(F.when(F.col("total_links") > 0, F.col("covered") / F.col("total_links")).otherwise(1.0), 6).alias("candidate_recall"),

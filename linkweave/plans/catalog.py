@@ -218,9 +218,7 @@ def union_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def blocking_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.entities(spark, sf_dir)
-    found = all_strategies(spark, sf_dir)
-    found = found.unionByName(found.select("s1_id", "cand_id").distinct().withColumn("strategy", F.lit("union")))
-    return blocking.strategy_stats(s1(e), found, X.links(e), X.targets(e))
+    return blocking.strategy_stats(s1(e), all_strategies(spark, sf_dir), X.links(e), X.targets(e), STRATEGIES)
 
 
 # TF-IDF retrieval.
