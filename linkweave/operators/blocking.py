@@ -394,11 +394,12 @@ def strategy_stats(heads: DataFrame, found: DataFrame, true_links: DataFrame, ta
 
     found: strategy, s1_id, cand_id. Pairs are brought together once, with the strategies that found them, and counted for all.
     """
-    pairs = found.groupBy("s1_id", "cand_id").agg(F.collect_set("strategy").alias("by"))
+    bit = reduce(lambda c, s: F.when(F.col("strategy") == s[1], 1 << s[0]).otherwise(c), enumerate(strategies), F.lit(0))
+    pairs = found.groupBy("s1_id", "cand_id").agg(F.bit_or(bit).alias("by"))
     true = true_links.select("s1_id", F.col("tid").alias("cand_id"), F.lit(True).alias("true"))
     pairs = pairs.join(true, ["s1_id", "cand_id"], "left").withColumn("true", F.coalesce("true", F.lit(False)))
     one = lambda on, name: F.struct(F.lit(name).alias("strategy"), F.count_if(on).alias("total_candidates"), F.count_if(on & F.col("true")).alias("covered"))
-    sums = pairs.agg(F.array(*[one(F.array_contains("by", s), s) for s in strategies], one(F.lit(True), "union")).alias("rows"))
+    sums = pairs.agg(F.array(*[one(F.col("by").bitwiseAND(1 << k) != 0, s) for k, s in enumerate(strategies)], one(F.lit(True), "union")).alias("rows"))
     totals = heads.agg(F.count("*").alias("n_s1")).join(true_links.agg(F.count("*").alias("total_links")), how="cross").join(targets.agg(F.count("*").alias("n_t")), how="cross")
     # Sums and totals are one row each.
     out = sums.join(totals, how="cross").select(F.inline("rows"), "n_s1", "total_links", "n_t").where("total_candidates > 0")
