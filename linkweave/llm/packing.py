@@ -37,13 +37,22 @@ class Encoder:
     def __init__(self, name: str = "byte_bpe_50k") -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.own = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.own.encode_special_tokens = True
+        self.name, self.file = name, public_tokenizers.path(f"{name}.json")
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.loaded = None
+
+    @property
+    def own(self):
+        """The tokenizers file, loaded when a text first needs it."""
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.file)
+            self.loaded.encode_special_tokens = True
+        return self.loaded
 
     def __call__(self, text: str) -> np.ndarray:
         if _LATIN.search(text):
@@ -51,6 +60,16 @@ class Encoder:
         return np.array(self.fast.encode_ordinary(text), dtype="<u4")
 
 
+def encoder(name: str) -> Encoder:
+    """The worker's encoder of this vocabulary: workers serve many tasks, and loading takes longer than a small task."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_encoders", {})
+    if name not in kept:
+        kept[name] = Encoder(name)
+    return kept[name]
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """Start and length of each piece of n tokens; only the first may be shorter than the capacity, if there are several."""
     pieces = -(-n // capacity)
@@ -68,7 +87,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe
             rows += [(doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())) for k, (start, n) in enumerate(cut(len(ids), capacity))]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", lambda: Encoder(tokenizer))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long", lambda: encoder(tokenizer))
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[int]:

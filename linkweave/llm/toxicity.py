@@ -36,7 +36,8 @@ SIGNS = 6
 #: Features kept at most, the most significant first.
 FEATURES = 4000
 WINDOW = 3
-KEPT = 300_000
+#: Words whose evidence a task keeps.
+KEPT = 100_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
