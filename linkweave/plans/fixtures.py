@@ -1,11 +1,13 @@
 """Entity tables derived from documents, and their profiles: the input of the linkage queries.
 
 An entity's name is tokens 1 to 6 of a document, its address tokens 7 to 14; rows are dealt to three sources by id. Tokens are ASCII by
-construction, so their normalization needs no Python.
+construction, so their normalization needs no Python. Queries read entities for several sides of their joins, so the table, short rows cut
+from whole texts, is kept in memory or on executors' disks until the cache is cleared; a lost part is cut again.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     cut = docs.select("doc_id", "lang", F.regexp_extract_all(T.ascii_lower(T.blank_if_null(F.col("text"))), F.lit("[a-z0-9]+"), 0).alias("k"))
     part = lambda start, n: F.array_join(F.slice("k", start, n), " ")
-    return cut.select(
+    rows = cut.select(
         F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
         part(1, 6).alias("business_name"),
         part(7, 8).alias("business_address"),
         F.when(F.col("lang") == "en", "USA").otherwise(F.coalesce("lang", F.lit(""))).alias("country"),
         F.when(F.size("k") >= 12, part(5, 8)).otherwise("").alias("link_key"),
     )
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def named(df: DataFrame, unicode: bool = False) -> DataFrame:
