@@ -138,6 +138,7 @@ def _both(channel: str, *args: int, **more: object) -> tuple[Step, Step]:
     return Step(channel, *args, **more), Step(WIDE + channel, *args, **more)
 
 
+# The order, quotas and bounds of each fold.
 FOLDS: dict[str, Fold] = {
     "v1": Fold((Step("norm_name", 60), Step("stem_name", 60, 60), Step("ordered_pair", 60, 60), Step("single_tok", 60, 60), Step("norm_addr", 30, 60), Step("addr_num", 30, 60)), 60),
     "v2": Fold(

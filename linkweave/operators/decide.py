@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from linkweave.operators import evaluate as E
 
+# The settings that searches go through.
 GATES = (0.65, 0.70, 0.75, 0.80, 0.85, 0.88, 0.90)
 THRESHOLDS = (0.55, 0.60, 0.64, 0.70, 0.75)
 GAPS = (0.10, 0.15, 0.20, 0.25)
 CAPS = (8, 10, 11)
 
 
-#: Settings of the strategies that are compared beside a bare threshold.
+# Settings of the strategies that are compared beside a bare threshold.
 STRATEGY_GAPS = (0.10, 0.15, 0.20)
 STRATEGY_CAPS = (4, 6, 8)
 STRATEGY_BONUSES = (0.02, 0.05)

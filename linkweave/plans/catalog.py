@@ -696,6 +696,7 @@ def decision_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["decision_best"] = _whole(grid_sql(GRID_ROWS, "setting, gate, least, gap, cap, macro_f05") + " ORDER BY macro_f05 DESC, setting LIMIT 1")
 
 
+# Gates, thresholds, gaps and caps of two more searches.
 WIDE_GRID = ((0.64, 0.70, 0.75, 0.80, 0.85, 0.90), (0.60, 0.65, 0.70, 0.75, 0.80, 0.85), (0.10, 0.15, 0.20, 0.25), (8, 10, 11))
 LATE_GRID = ((0.75, 0.80, 0.85, 0.90), (0.60, 0.65, 0.70, 0.75), (0.15, 0.20, 0.25), (8, 10, 11))
 
