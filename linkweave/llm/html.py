@@ -1,8 +1,8 @@
 """Main text of pages: flat text blocks with word count and link density of their neighbours, classified by a decision tree.
 
 Markup is cut into blocks at block-level tags and line breaks. A block knows its words, the share of them in links, the same of the blocks
-before and after, and whether it stands in an article or in parts that pages repeat. The tree is grown, at first use, on the small
-labelled table below. Kept blocks are joined by one space; references are decoded; white space within a block is one space.
+before and after, and whether it stands in an article or in parts that pages repeat. The tree is grown, at first use, on the
+labelled blocks and pages below. Kept blocks are joined by one space; references are decoded; white space within a block is one space.
 
 Null and empty pages give an empty text. Repeated rows give equal rows; an empty table gives an empty table; other columns are ignored.
 Markup that breaks off is read as far as it goes. Ties of a split go to the first feature and least bound.
@@ -63,11 +63,11 @@ LABELLED = (
     (4, 0.0, 2, 0.0, 5, 1.0, 0, 1, 1),
     (3, 0.0, 4, 1.0, 6, 0.0, 0, 1, 1),
     (5, 1.0, 3, 0.0, 4, 0.0, 0, 1, 1),
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 1),
+    (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 0),
     (7, 0.0, 1, 0.0, 0, 0.0, 0, 1, 1),
     (6, 0.0, 12, 0.0, 7, 0.3, 0, 1, 1),
     (9, 0.2, 1, 1.0, 4, 0.0, 0, 1, 1),
-    (30, 0.8, 20, 0.9, 15, 1.0, 0, 1, 1),
+    (30, 0.8, 20, 0.9, 15, 1.0, 0, 1, 0),
     (1, 0.0, 100, 0.0, 3, 0.7, 0, 1, 1),
     (12, 0.0, 0, 0.0, 2, 0.0, 0, 1, 1),
     (80, 0.0, 70, 0.0, 90, 0.0, 0, 0, 1),
@@ -85,6 +85,53 @@ LABELLED = (
     (2, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0),
 )
 
+#: Blocks of whole pages in order: words, link density, repeated part, article, main text. Made by hand as well; the neighbours' figures follow from the order.
+LABELLED_PAGES = (
+    # A report without article or main, its menu and its last lines unmarked.
+    ((1, 1.0, 0, 0, 0), (2, 1.0, 0, 0, 0), (1, 1.0, 0, 0, 0), (4, 0.0, 0, 0, 0), (6, 0.0, 0, 0, 1), (62, 0.0, 0, 0, 1), (45, 0.05, 0, 0, 1), (11, 0.0, 0, 0, 1), (70, 0.1, 0, 0, 1), (55, 0.0, 0, 0, 1), (7, 0.0, 0, 0, 0), (2, 1.0, 0, 0, 0), (1, 1.0, 0, 0, 0)),
+    # Short paragraphs under headings, without article; a footer line ends the page.
+    ((1, 1.0, 0, 0, 0), (3, 1.0, 0, 0, 0), (6, 0.0, 0, 0, 1), (14, 0.0, 0, 0, 1), (18, 0.0, 0, 0, 1), (12, 0.0, 0, 0, 1), (3, 0.0, 0, 0, 1), (16, 0.1, 0, 0, 1), (10, 0.0, 0, 0, 1), (22, 0.0, 0, 0, 1), (5, 0.0, 0, 0, 0)),
+    # Headings before short paragraphs and lines of a few words between paragraphs.
+    ((9, 0.0, 0, 0, 1), (90, 0.0, 0, 0, 1), (2, 0.0, 0, 0, 1), (8, 0.0, 0, 0, 1), (7, 0.0, 0, 0, 1), (30, 0.0, 0, 0, 1), (5, 0.0, 0, 0, 1), (13, 0.0, 0, 0, 1), (150, 0.02, 0, 0, 1), (3, 0.0, 0, 0, 0)),
+    # A list of links before a long paragraph, one between paragraphs and one at the end.
+    ((5, 1.0, 0, 0, 0), (6, 1.0, 0, 0, 0), (12, 0.9, 0, 0, 0), (80, 0.0, 0, 0, 1), (20, 0.8, 0, 0, 0), (65, 0.1, 0, 0, 1), (40, 0.2, 0, 0, 1), (9, 1.0, 0, 0, 0), (45, 0.9, 0, 0, 0), (25, 0.7, 0, 0, 0)),
+    # One paragraph between links: the last and only block of text.
+    ((2, 1.0, 0, 0, 0), (3, 1.0, 0, 0, 0), (120, 0.0, 0, 0, 1), (2, 1.0, 0, 0, 0), (3, 0.0, 0, 0, 0), (1, 1.0, 0, 0, 0)),
+    # Buttons and notices of a few words, then links, no text at all.
+    ((2, 0.0, 0, 0, 0), (3, 0.0, 0, 0, 0), (1, 0.0, 0, 0, 0), (4, 1.0, 0, 0, 0), (2, 0.0, 0, 0, 0), (6, 1.0, 0, 0, 0), (5, 0.0, 0, 0, 0), (7, 1.0, 0, 0, 0)),
+    # An article with long blocks before short ones, a list of links to other pages at its end, a marked menu and footer about it.
+    ((1, 1.0, 1, 0, 0), (2, 1.0, 1, 0, 0), (7, 0.0, 0, 1, 1), (3, 0.0, 0, 1, 1), (85, 0.0, 0, 1, 1), (4, 0.0, 0, 1, 1), (60, 0.3, 0, 1, 1), (2, 0.0, 0, 1, 1), (8, 1.0, 0, 1, 0), (6, 1.0, 0, 1, 0), (11, 1.0, 0, 1, 0), (7, 0.9, 0, 1, 0), (6, 0.0, 1, 0, 0)),
+    # Lists of short links between plain paragraphs of an article, and linked lines alone between some with links in them.
+    ((4, 0.0, 0, 1, 1), (30, 0.0, 0, 1, 1), (3, 1.0, 0, 1, 0), (2, 1.0, 0, 1, 0), (5, 1.0, 0, 1, 0), (45, 0.0, 0, 1, 1), (1, 1.0, 0, 1, 0), (4, 1.0, 0, 1, 0), (20, 0.0, 0, 1, 1), (12, 0.0, 0, 1, 1)),
+    ((50, 0.1, 0, 1, 1), (5, 1.0, 0, 1, 1), (40, 0.2, 0, 1, 1), (9, 1.0, 0, 1, 1), (33, 0.1, 0, 1, 1), (2, 1.0, 0, 1, 1), (25, 0.3, 0, 1, 1)),
+    # An article that begins with a list of its sections and has one of links between its paragraphs.
+    ((5, 0.0, 0, 1, 1), (2, 1.0, 0, 1, 0), (4, 1.0, 0, 1, 0), (3, 1.0, 0, 1, 0), (30, 0.1, 0, 1, 1), (50, 0.0, 0, 1, 1), (6, 1.0, 0, 1, 0), (7, 0.8, 0, 1, 0), (9, 1.0, 0, 1, 0), (75, 0.0, 0, 1, 1), (1, 0.0, 0, 1, 1), (20, 0.4, 0, 1, 1)),
+    # Pages that begin with their heading, or have it after links of one word.
+    ((3, 0.0, 0, 0, 1), (70, 0.0, 0, 0, 1), (40, 0.0, 0, 0, 1)),
+    ((1, 0.0, 0, 0, 1), (12, 0.0, 0, 0, 1), (15, 0.0, 0, 0, 1), (4, 0.0, 0, 0, 0)),
+    ((1, 1.0, 0, 0, 0), (5, 0.0, 0, 0, 1), (60, 0.0, 0, 0, 1), (9, 0.0, 0, 0, 1), (2, 1.0, 0, 0, 0)),
+    ((2, 1.0, 0, 0, 0), (1, 1.0, 0, 0, 0), (2, 0.0, 0, 0, 1), (14, 0.0, 0, 0, 1), (35, 0.0, 0, 0, 1)),
+    # Headings of lists of links, after text and by themselves.
+    ((50, 0.0, 0, 0, 1), (3, 0.0, 0, 0, 0), (10, 1.0, 0, 0, 0), (16, 0.9, 0, 0, 0), (4, 0.0, 0, 0, 0), (13, 1.0, 0, 0, 0), (30, 0.8, 0, 0, 0)),
+    ((2, 0.0, 0, 0, 0), (20, 1.0, 0, 0, 0), (25, 0.9, 0, 0, 0), (5, 0.0, 0, 0, 0), (9, 1.0, 0, 0, 0)),
+    # Paragraphs of one short sentence under headings.
+    ((3, 1.0, 0, 0, 0), (4, 0.0, 0, 0, 1), (9, 0.0, 0, 0, 1), (2, 0.0, 0, 0, 1), (10, 0.0, 0, 0, 1), (11, 0.1, 0, 0, 1), (5, 0.0, 0, 0, 1), (8, 0.0, 0, 0, 1), (9, 0.0, 0, 0, 1), (3, 0.0, 0, 0, 1), (10, 0.0, 0, 0, 1), (4, 0.0, 0, 0, 0), (1, 1.0, 0, 0, 0)),
+    # Outside articles linked lines between paragraphs lead to other pages.
+    ((90, 0.0, 0, 0, 1), (6, 1.0, 0, 0, 0), (75, 0.0, 0, 0, 1), (4, 1.0, 0, 0, 0), (50, 0.1, 0, 0, 1), (9, 0.9, 0, 0, 0), (3, 1.0, 0, 0, 0), (40, 0.0, 0, 0, 1), (7, 1.0, 0, 0, 0), (85, 0.0, 0, 0, 1)),
+    # Links of many words in a row inside an article; a linked line alone between its paragraphs is text.
+    ((40, 0.0, 0, 1, 1), (20, 1.0, 0, 1, 0), (18, 0.9, 0, 1, 0), (25, 1.0, 0, 1, 0), (60, 0.0, 0, 1, 1), (6, 1.0, 0, 1, 1), (35, 0.0, 0, 1, 1), (4, 1.0, 0, 1, 1), (12, 0.0, 0, 1, 1)),
+)
+
+
+def rows_of(page: tuple[tuple[float, ...], ...]) -> list[tuple[float, ...]]:
+    """The labelled blocks of a page with their neighbours' figures, as in LABELLED."""
+    none = (0, 0.0, 0, 0, 0)
+    around = [none, *page, none]
+    return [(*b[:2], *p[:2], *n[:2], *b[2:]) for p, b, n in zip(around, page, around[2:])]
+
+
+LABELLED += tuple(r for page in LABELLED_PAGES for r in rows_of(page))
+
 
 class Block:
     __slots__ = ("text", "words", "links", "repeated", "article")
