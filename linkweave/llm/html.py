@@ -4,6 +4,9 @@ Markup is cut into blocks at block-level tags and line breaks. A block knows its
 before and after, and whether it stands in an article or in parts that pages repeat. The tree is grown, at first use, on the
 labelled blocks and pages below. Kept blocks are joined by one space; references are decoded; white space within a block is one space.
 
+Parts that pages repeat are told by tags or by words of class, id and role. Such words don't mark main, an article, or elements that hold
+one; articles within an article and those of class comment or reply stay marked.
+
 Null and empty pages give an empty text. Repeated rows give equal rows; an empty table gives an empty table; other columns are ignored.
 Markup that breaks off is read as far as it goes. Ties of a split go to the first feature and least bound.
 """
@@ -32,6 +35,8 @@ REPEATED_WORDS = set(
     "footer sidebar aside widget cookie cookies consent notice popup modal comment comments disqus reply replies respond share sharing social related recommended "
     "newsletter subscribe login signup search pagination pager toolbar skip contentinfo complementary".split()
 )
+#: Whole class words of articles that are comments of readers.
+COMMENT_WORDS = set("comment comments reply replies".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -144,7 +149,11 @@ def blocks(html: str) -> list[Block]:
     """The page's text blocks in order, without those that have no word."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int, int]] = []  # open elements: name, in a repeated part, in an article
+    # Open elements: name, in a repeated part by its tags, in an article, those marked by words (by number).
+    stack: list[tuple[str, int, int, frozenset[int]]] = []
+    marked_by: list[frozenset[int]] = []  # of each block
+    holders: set[int] = set()  # elements marked by words that are articles or hold one
+    n_marked = 0
     in_link, at, end, lower = False, 0, len(html), None
 
     def close() -> None:
@@ -153,8 +162,9 @@ def blocks(html: str) -> list[Block]:
             if text:
                 linked = len(unescape("".join(t for t, x in parts if x)).split())
                 words = text.count(" ") + 1
-                _, repeated, article = stack[-1] if stack else ("", 0, 0)
+                _, repeated, article, marked = stack[-1] if stack else ("", 0, 0, frozenset())
                 out.append(Block(text, words, min(1.0, linked / words), repeated, article))
+                marked_by.append(marked)
             parts.clear()
 
     while at < end:
@@ -192,11 +202,20 @@ def blocks(html: str) -> list[Block]:
             stack.pop()
         marks = " ".join(x or y or z for x, y, z in MARKS.findall(m[3])) if m[3] else ""
         told = marks and not REPEATED_WORDS.isdisjoint(re.split(r"[\s_-]+", marks.lower()))
-        _, repeated, article = stack[-1] if stack else ("", 0, 0)
+        _, repeated, article, marked = stack[-1] if stack else ("", 0, 0, frozenset())
         if name not in ("html", "body"):
-            repeated = int(repeated or name in REPEATED_TAGS or bool(told))
-        stack.append((name, repeated, int(article or name in ARTICLE_TAGS)))
+            repeated = int(repeated or name in REPEATED_TAGS)
+            if told:
+                n_marked += 1
+                marked |= {n_marked}
+        if name in ARTICLE_TAGS:
+            inside = any(x[0] == "article" for x in stack)
+            if not inside and not (name == "article" and marks and not COMMENT_WORDS.isdisjoint(marks.lower().split())):
+                holders |= marked
+        stack.append((name, repeated, int(article or name in ARTICLE_TAGS), marked))
     close()
+    for b, marked in zip(out, marked_by, strict=True):
+        b.repeated = int(b.repeated or not marked <= holders)
     return out
 
 

@@ -42,3 +42,26 @@ def test_text_of_an_article_stays():
     parts = [words(3), words(80), words(2), words(6), words(40), words(1)]
     assert text_of("<nav>menu</nav><main>" + "".join(f"<p>{p}</p>" for p in parts) + "</main>") == " ".join(parts)
     assert text_of(f"<article><p>{words(40)}</p><p><a href=1>{words(4)}</a></p><p>{words(30)}</p></article>") == f"{words(40)} {words(4)} {words(30)}"
+
+
+def test_class_words_do_not_mark_what_holds_the_article():
+    for page in (
+        "<main class='content has-sidebar'><h1>Title</h1>{}</main>",
+        "<div id='page' class='no-sidebar'><h1>Title</h1><article>{}</article></div>",
+        "<body><article class='post share-enabled'><h1>Title</h1>{}</article></body>",
+        "<div class='nav-open'><main class='skip'><h1>Title</h1><article class='post sponsored'>{}</article></main></div>",
+    ):
+        parts = [words(30, "a"), words(12, "b"), words(3, "c")]
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        assert text_of(page.format(body + f"<div class=share-bar><p>{words(20, 'no')}</p></div>")) == " ".join(["Title", *parts])
+
+
+def test_marked_parts_stay_out():
+    long = f"<p>{words(40)}</p>"
+    for part in (
+        f"<div class=sidebar>{long}</div>",
+        f"<div class=comments><article class=comment>{long}</article></div>",
+        f"<nav><article class=menu>{long}</article></nav>",
+    ):
+        assert text_of(f"<article><p>{words(9, 'own')}</p></article>{part}") == words(9, "own")
+    assert text_of(f"<article><p>{words(9, 'own')}</p><div class=replies><article>{long}</article></div></article>") == words(9, "own")
