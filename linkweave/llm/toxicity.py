@@ -2,7 +2,7 @@
 
 Tokens are runs of letters. A token's features are its lower-case word and the word's beginnings of 3 to 10 letters, of which those count
 that documents labelled toxic have significantly more often. Tokens of toxic documents with such a feature are the labelled toxic tokens; the
-field's emissions and transitions are fitted to them by likelihood on windows around them and on plain ones. Learning is bounded: at most
+field's emissions and transitions are fitted by likelihood on windows around all tokens of the sample with such a feature and on plain ones. Learning is bounded: at most
 TOXIC and CLEAN labelled documents, those with the least hash of the id, of the rows whose crc32 of the id as text is no multiple of 5. Of
 near copies in that sample one is learned from, else the words of a much copied document would seem to tell.
 
@@ -133,8 +133,9 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
 
 
-def fit_field(windows: list[list[tuple[list[int], int]]], n_features: int, rounds: int = 120) -> tuple[np.ndarray, float, np.ndarray]:
-    """Likelihood ascent over windows of equal length; each token is (features, label)."""
+def fit_field(counted: Counter[tuple[tuple[tuple[int, ...], int], ...]], n_features: int, rounds: int = 120) -> tuple[np.ndarray, float, np.ndarray]:
+    """Likelihood ascent over windows of equal length, each as often as it occurs; each token is (features, label)."""
+    windows, times = list(counted), np.array(list(counted.values()), dtype=float)
     n, length = len(windows), len(windows[0])
     labels = np.array([[y for _, y in w] for w in windows])
     flat = [(i, k, f) for i, w in enumerate(windows) for k, (fs, _) in enumerate(w) for f in fs]
@@ -142,8 +143,8 @@ def fit_field(windows: list[list[tuple[list[int], int]]], n_features: int, round
     theta, bias, move = np.zeros(n_features), -2.0, np.zeros((2, 2))
     moments = [np.zeros(n_features + 5), np.zeros(n_features + 5)]
     observed_move = np.zeros((2, 2))
-    np.add.at(observed_move, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
-    observed_feat = np.bincount(feat, weights=labels[row, col], minlength=n_features)
+    np.add.at(observed_move, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), times.repeat(length - 1))
+    observed_feat = np.bincount(feat, weights=labels[row, col] * times[row], minlength=n_features)
     for t in range(1, rounds + 1):
         emit = np.full((n, length), bias)
         np.add.at(emit, (row, col), theta[feat])
@@ -155,9 +156,9 @@ def fit_field(windows: list[list[tuple[list[int], int]]], n_features: int, round
         bwd = bwd[::-1]
         total = log_sum(fwd[-1], 1)
         p = np.stack([np.exp(f + b - total[:, None])[:, 1] for f, b in zip(fwd, bwd)], axis=1)
-        pair = sum(np.exp(fwd[k][:, :, None] + move + (score[:, k + 1] + bwd[k + 1])[:, None, :] - total[:, None, None]).sum(0) for k in range(length - 1))
+        pair = sum(np.exp(fwd[k][:, :, None] + move + (score[:, k + 1] + bwd[k + 1])[:, None, :] - total[:, None, None]).T @ times for k in range(length - 1)).T
         grad = np.concatenate(
-            [observed_feat - np.bincount(feat, weights=p[row, col], minlength=n_features) - 0.1 * theta, [(labels - p).sum()], (observed_move - pair - 0.1 * move).ravel()]
+            [observed_feat - np.bincount(feat, weights=p[row, col] * times[row], minlength=n_features) - 0.1 * theta, [times @ (labels - p).sum(axis=1)], (observed_move - pair - 0.1 * move).ravel()]
         )
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.99 * moments[1] + 0.01 * grad**2
@@ -212,14 +213,14 @@ def learn(sample: list[tuple[str, int]]) -> Field:
     number = {f: k for k, f in enumerate(sorted(strong))}
     if not number:
         return none
-    windows = []
+    windows: Counter[tuple[tuple[tuple[int, ...], int], ...]] = Counter()
     for k, (t, y) in enumerate(sample):
         ws = TOKEN.findall(t)
-        tokens = [([number[f] for f in features_of(w) if f in number]) for w in ws]
-        centres = [i for i, fs in enumerate(tokens) if fs][:8] + ([(k * 7919) % len(ws)] if ws else [])
+        tokens = [tuple(number[f] for f in features_of(w) if f in number) for w in ws]
+        centres = [i for i, fs in enumerate(tokens) if fs] + ([(k * 7919) % len(ws)] if ws else [])
         for c in centres:
-            around = [tokens[i] if 0 <= i < len(ws) else [] for i in range(c - WINDOW, c + WINDOW + 1)]
-            windows.append([(fs, int(bool(fs) and y == 1)) for fs in around])
+            around = [tokens[i] if 0 <= i < len(ws) else () for i in range(c - WINDOW, c + WINDOW + 1)]
+            windows[tuple((fs, int(bool(fs) and y == 1)) for fs in around)] += 1
     theta, bias, move = fit_field(windows, len(number))
     field = Field({f: float(theta[k]) for f, k in number.items()}, bias, move, (0.0, 0.0, 0.0))
     evidence = []
