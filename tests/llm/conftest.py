@@ -2,11 +2,13 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, kept boolean, n_words string, score double, label string"
+#: Names that operators use themselves, beside those of the table.
+CLASHING = "row row_a row_b own document body m w at places cut n fp first hot deal is_hot is_met length rank salt piece staying_id __key __places __id __d __m __row".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, kept boolean, n_words string, score double, label string, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 
 def rows_of(texts, langs=None):
-    return [(i, t, (langs or {}).get(i, "en"), f"src{i % 3}", len(t or ""), 7 * i, None, "clash", None, None) for i, t in enumerate(texts)]
+    return [(i, t, (langs or {}).get(i, "en"), f"src{i % 3}", len(t or ""), 7 * i, None, "clash", None, None, *CLASHING) for i, t in enumerate(texts)]
 
 
 @pytest.fixture(scope="session")
