@@ -6,7 +6,13 @@ all others compared in full. Tiles are cut into blocks of bounded size. A pair o
 all pairs, and components are joined by alternating large and small stars over shuffles.
 
 Null and empty texts have fingerprint 0 and link like any other. Repeated rows and equal texts have equal fingerprints and share a
-component. Fewer words than a shingle: the whole sequence is one shingle. An empty table gives an empty table. Other columns of the input are ignored.
+component; rows of one id are fingerprinted each by its text, and rows without an id have a component by the ids of others, or null if there is
+none. Fewer words than a shingle: the whole sequence is one shingle. A bit that exactly half the hashes set is 0. Of equal ids any is the
+component's. A very long text is hashed in pieces, in memory that grows with its own words only. An empty table gives an empty table.
+Other columns of the input are ignored, whatever their names.
+
+Keys that may be hot, a fingerprint of very many rows and the centre of a star, are joined by join_values(); blocks of a large tile are
+dealt out in groups.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import map_batches, materialize, small_batches, table
+from linkweave.llm.common import join_values, map_batches, materialize, new_folder, remove, small_batches, table
 
 SHINGLE = 3
 RADIUS = 2
@@ -28,6 +34,8 @@ SEED = 42
 LANES, LANE_BITS = 4, 16
 #: Values in a block at most, about; a comparison then takes some 8 MB.
 BLOCK = 1024
+#: Blocks of a tile in a group, about. Groups meet other tiles' blocks one by one.
+GROUP = 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -92,7 +100,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
         label = new
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, folder: str = "") -> DataFrame:
     """u, v: links among the distinct values fp that make the same components as all pairs within the radius."""
     counts = lane_counts(F.col("fp"))
     base = LANE_BITS + 1 + 2 * radius
@@ -106,11 +114,17 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         .groupBy("tile", "block")
         .agg(F.collect_list("fp").alias("fps"))
     )
-    blocks = materialize(blocks, "simhash-blocks")
+    blocks = materialize(blocks, "simhash-blocks", folder)
     steps = [sum(d * base ** (LANES - 1 - k) for k, d in enumerate(off)) for off in offsets(radius)]
-    left = blocks.select("tile", F.col("block").alias("block_a"), F.col("fps").alias("a")).withColumn("step", F.explode(F.array(*map(F.lit, steps))))
-    right = blocks.select(F.col("tile").alias("near"), F.col("block").alias("block_b"), F.col("fps").alias("b"))
-    pairs = left.join(right, left.tile + left.step == right.near).where((F.col("step") != 0) | (F.col("block_a") <= F.col("block_b")))
+    groups = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") / BLOCK) / GROUP)).cast("int")
+    near_sizes = sizes.select(F.col("tile").alias("near"), groups.alias("n_groups"))
+    left = blocks.select("tile", F.col("block").alias("block_a"), F.col("fps").alias("a"), F.explode(F.array(*map(F.lit, steps))).alias("step"))
+    # As small as sizes. Only tiles that exist are met, and each group of their blocks by itself.
+    left = left.withColumn("near", F.col("tile") + F.col("step")).join(F.broadcast(near_sizes), "near")
+    left = left.withColumn("near_group", F.explode(F.sequence(F.lit(0), F.col("n_groups") - 1)))
+    right = blocks.join(F.broadcast(near_sizes), blocks.tile == near_sizes.near)
+    right = right.select("near", F.pmod("block", "n_groups").alias("near_group"), F.col("block").alias("block_b"), F.col("fps").alias("b"))
+    pairs = left.join(right, ["near", "near_group"]).where((F.col("step") != 0) | (F.col("block_a") <= F.col("block_b")))
     pairs = pairs.select("a", "b", ((F.col("step") == 0) & (F.col("block_a") == F.col("block_b"))).alias("same"))
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -136,35 +150,47 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.mapInArrow(compare, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges (u, v): the least node of its component. Alternates large and small stars until nothing changes."""
-    stars = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    seen = None
+def components(edges: DataFrame, within: str = "") -> DataFrame:
+    """node, root for every node of edges (u, v): the least node of its component. Alternates large and small stars until nothing changes.
+
+    A round's tables, in the shared folder or one in it, are removed when the next round's are written.
+    """
+    spark = edges.sparkSession
+    folder = new_folder(spark, "stars", within)
+    stars = materialize(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars", folder)
+    state = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")).first()
+    now = state(stars)
     while True:
+        again = new_folder(spark, "stars", within)
         # Large star: each node's greater neighbours go to its least neighbour or itself.
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_values(both, least, ["u"], 2 * now.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "large-star", again)
         # Small star: each node and its lesser neighbours go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        stars = materialize(small.select("e.u", "e.v").where("u != v").distinct(), "small-star")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_values(large, least, ["u"], now.n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        after = materialize(small.select("e.u", "e.v").where("u != v").distinct(), "small-star", again)
+        then = state(after)
+        remove(spark, folder)
+        stars, folder, changed, now = after, again, then != now, then
+        if not changed:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach."""
     made = materialize(fingerprints(docs, shingle), "fingerprints")
-    values = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-values")
-    roots = components(links(values.select("fp"), radius))
-    rooted = values.join(roots, values.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_value = rooted.join(least, "root").select("fp", "component_id")
-    return made.join(by_value, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    folder = new_folder(docs.sparkSession, "simhash")
+    values = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "fingerprint-values", folder)
+    roots = components(links(values.select("fp"), radius, folder), folder)
+    rooted = values.join(roots, values.fp == roots.node, "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    total = values.agg(F.count("*").alias("values"), F.sum("n").alias("rows")).first()
+    by_value = join_values(rooted.withColumnRenamed("n", "n_own"), least, ["root"], total["values"])
+    by_value = materialize(by_value.select("fp", "component_id", F.col("n_own").alias("n")), "components")
+    remove(docs.sparkSession, folder)
+    return join_values(made, by_value, ["fp"], total["rows"] or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
