@@ -98,3 +98,48 @@ def test_one_length_alone_and_empty_table(frame):
 
 def test_cut():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(3, 4) == [(0, 3)]
+
+
+@pytest.fixture(scope="module")
+def untouched():
+    """The tokenizers file as its library reads it; no code of ours has set anything on it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids(tokenizer, text):
+    return tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "a" + "\n \t" * 300_000, "a" * 1_000_000, "7" * 300_000, "x <|endoftext|> y", "<|endoftext|>", "<|endoftext|", "é" * 200_000, " a" * 200_000, "a" + " " * 9_999 + "b" + " " * 10_000])
+def test_any_text_has_the_tokenizers_ids(untouched, text):
+    assert packing.Encoder()(text).tolist() == ids(untouched, text)
+
+
+def test_every_character_of_the_fast_path(untouched):
+    e = packing.Encoder()
+    for c in map(chr, (*range(0x250), *range(0x2010, 0x2028))):
+        for a, b in (("", ""), ("a", "b"), (" ", " "), ("1", "2"), (".", "!"), ("\n", "\t"), ("é", "ß"), ("'", "s"), (c, c)):
+            t = f"{a}{c}{b}{c} {c}"
+            assert e(t).tolist() == ids(untouched, t)
+
+
+def test_fast_ids_of_whole_documents(untouched):
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data here")
+    import pyarrow.parquet as pq
+
+    e = packing.Encoder()
+    for t in pq.read_table(path, columns=["text"]).column(0).to_pylist():
+        assert e(t or "").tolist() == ids(untouched, t or "")
+
+
+def test_rows_without_an_id_and_clashing_names(spark):
+    df = spark.createDataFrame([(None, "a b", 1, 2), (None, "a b", 1, 2), (3, None, 1, 2)], "doc_id long, text string, length int, rank int")
+    rows = packing.pack(df, 8).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.length) for r in rows) == [(0, 0, 3), (0, 0, 3), (3, 0, 1)] and check_bins(rows, 8) == 1
