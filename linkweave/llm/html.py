@@ -5,15 +5,19 @@ before and after, and whether it stands in an article or in parts that pages rep
 labelled blocks and pages below. Kept blocks are joined by one space; references are decoded; white space within a block is one space.
 
 Parts that pages repeat are told by tags or by words of class, id and role. Such words don't mark main, an article, or elements that hold
-one; articles within an article and those of class comment or reply stay marked.
+one; articles within an article and those of class comment or reply stay marked. On pages without main and article, class words don't mark what holds
+over half of the page's unlinked words either, unless they tell comments: that is a wrapper of the text.
 
-Null and empty pages give an empty text. Repeated rows give equal rows; an empty table gives an empty table; other columns are ignored.
-Markup that breaks off is read as far as it goes. Ties of a split go to the first feature and least bound.
+Null and empty pages give an empty text. Repeated rows give equal rows; an empty table gives an empty table; other columns are ignored, whatever
+their names. Pages are read once from start to end, very long ones too, in time that grows with their length. A tag that breaks off takes the
+rest of the page; a quote that is never closed is no quote. Ties of a split go to the first feature and least bound.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -37,7 +41,9 @@ REPEATED_WORDS = set(
 )
 #: Whole class words of articles that are comments of readers.
 COMMENT_WORDS = set("comment comments reply replies".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: The end of a tag, or a quote that begins the value of an attribute.
+STOP = re.compile(r"=\s*([\"'])|>")
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_repeated", "in_article")
@@ -145,16 +151,82 @@ class Block:
         self.text, self.words, self.links, self.repeated, self.article = text, words, links, repeated, article
 
 
+class Pieces:
+    """A page's tags one after another, and the text between them. Each character is passed over a fixed number of times."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.end = html, len(html)
+        self.open_quotes: set[str] = set()  # quotes of which there are no more further on
+        self.lower: str | None = None
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose name ends at this place ends: the place of its >, or the page's end."""
+        while m := STOP.search(self.html, at):
+            at = m.end()
+            if not m[1]:
+                return m.start()
+            if m[1] not in self.open_quotes:
+                close = self.html.find(m[1], at)
+                if close < 0:
+                    self.open_quotes.add(m[1])
+                else:
+                    at = close + 1
+        return self.end
+
+    def after_raw(self, name: str, at: int) -> int:
+        """Where the closing tag of an element without text of its own begins, or the page's end."""
+        if self.lower is None:
+            self.lower = ascii_lower(self.html)
+        stop = self.lower.find(f"</{name}", at)
+        return self.end if stop < 0 else stop
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str]]:
+        """(text, False, "") or ("/" and name or name, True, attributes)."""
+        html, at, find = self.html, 0, self.html.find
+        while at < self.end:
+            start = find("<", at)
+            if start < 0:
+                yield html[at:], False, ""
+                return
+            if start > at:
+                yield html[at:start], False, ""
+            if html.startswith("<!--", start):
+                stop = find("-->", start + 4)
+                at = self.end if stop < 0 else stop + 3
+            elif m := NAME.match(html, start + 1):
+                stop = self.tag_end(m.end())
+                at = min(stop + 1, self.end)
+                name = m[0].lower()
+                yield name, True, html[m.end() : stop]
+                if name in RAW and html[stop - 1] != "/":
+                    at = self.after_raw(name, at)
+            elif html[start + 1 : start + 2] in ("!", "?", "/"):
+                stop = find(">", start + 2)
+                at = self.end if stop < 0 else stop + 1
+            else:
+                yield "<", False, ""
+                at = start + 1
+
+
+class Marked:
+    """An element that words of class, id or role mark, in the marked element about it. holds: an article stands in it, or it wraps the page's text."""
+
+    __slots__ = ("about", "comment", "holds", "plain")
+
+    def __init__(self, about: Marked | None, comment: bool) -> None:
+        self.about, self.comment, self.holds, self.plain = about, comment, False, 0
+
+
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in order, without those that have no word."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    # Open elements: name, in a repeated part by its tags, in an article, those marked by words (by number).
-    stack: list[tuple[str, int, int, frozenset[int]]] = []
-    marked_by: list[frozenset[int]] = []  # of each block
-    holders: set[int] = set()  # elements marked by words that are articles or hold one
-    n_marked = 0
-    in_link, at, end, lower = False, 0, len(html), None
+    # Open elements: name, in a repeated part by its tags, in an article, the nearest element marked by words.
+    stack: list[tuple[str, int, int, Marked | None]] = []
+    open_names: Counter[str] = Counter()
+    marked_by: list[Marked | None] = []  # of each block
+    marked: list[Marked] = []  # those about come before those within
+    in_link = any_article = False
 
     def close() -> None:
         if parts:
@@ -162,63 +234,78 @@ def blocks(html: str) -> list[Block]:
             if text:
                 linked = len(unescape("".join(t for t, x in parts if x)).split())
                 words = text.count(" ") + 1
-                _, repeated, article, marked = stack[-1] if stack else ("", 0, 0, frozenset())
+                _, repeated, article, mark = stack[-1] if stack else ("", 0, 0, None)
                 out.append(Block(text, words, min(1.0, linked / words), repeated, article))
-                marked_by.append(marked)
+                marked_by.append(mark)
             parts.clear()
 
-    while at < end:
-        m = TAG.search(html, at)
-        if not m:
-            parts.append((html[at:], in_link))
-            break
-        if m.start() > at:
-            parts.append((html[at : m.start()], in_link))
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+    for name, is_tag, attributes in Pieces(html):
+        if not is_tag:
+            parts.append((name, in_link))
             continue
+        closing = name[0] == "/"
+        name = name.lstrip("/")
         if name in INLINE:
             if name == "a":
-                in_link = not m[1]
+                in_link = not closing
             continue
         if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                lower = lower if lower is not None else ascii_lower(html)
-                stop = lower.find(f"</{name}", at)
-                at = end if stop < 0 else stop
             continue
         close()
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        if m[1]:
+        if closing:
             in_link = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if open_names[name]:
+                while True:
+                    gone = stack.pop()[0]
+                    open_names[gone] -= 1
+                    if gone == name:
+                        break
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        marks = " ".join(x or y or z for x, y, z in MARKS.findall(m[3])) if m[3] else ""
-        told = marks and not REPEATED_WORDS.isdisjoint(re.split(r"[\s_-]+", marks.lower()))
-        _, repeated, article, marked = stack[-1] if stack else ("", 0, 0, frozenset())
+            open_names["p"] -= 1
+        marks = " ".join(x or y or z for x, y, z in MARKS.findall(attributes)).lower() if attributes else ""
+        comment = bool(marks) and not COMMENT_WORDS.isdisjoint(marks.split())
+        _, repeated, article, mark = stack[-1] if stack else ("", 0, 0, None)
         if name not in ("html", "body"):
             repeated = int(repeated or name in REPEATED_TAGS)
-            if told:
-                n_marked += 1
-                marked |= {n_marked}
+            if marks and not REPEATED_WORDS.isdisjoint(re.split(r"[\s_-]+", marks)):
+                mark = Marked(mark, comment or not COMMENT_WORDS.isdisjoint(re.split(r"[\s_-]+", marks)))
+                marked.append(mark)
         if name in ARTICLE_TAGS:
-            inside = any(x[0] == "article" for x in stack)
-            if not inside and not (name == "article" and marks and not COMMENT_WORDS.isdisjoint(marks.lower().split())):
-                holders |= marked
-        stack.append((name, repeated, int(article or name in ARTICLE_TAGS), marked))
+            if not open_names["article"] and not (name == "article" and comment):
+                any_article, x = True, mark
+                while x and not x.holds:
+                    x.holds = True
+                    x = x.about
+        stack.append((name, repeated, int(article or name in ARTICLE_TAGS), mark))
+        open_names[name] += 1
     close()
-    for b, marked in zip(out, marked_by, strict=True):
-        b.repeated = int(b.repeated or not marked <= holders)
+    if not any_article:
+        wrap(out, marked_by, marked)
+    for b, mark in zip(out, marked_by, strict=True):
+        b.repeated = int(b.repeated or (mark is not None and not mark.holds))
     return out
 
 
+def wrap(found: list[Block], marked_by: list[Marked | None], marked: list[Marked]) -> None:
+    """Tells the marked elements that hold over half of the words that aren't linked or in parts repeated by their tags."""
+    total = 0
+    for b, mark in zip(found, marked_by, strict=True):
+        if not b.repeated:
+            plain = b.words - round(b.links * b.words)
+            total += plain
+            if mark:
+                mark.plain += plain
+    for x in reversed(marked):
+        if x.about:
+            x.about.plain += x.plain
+    for x in marked:
+        x.holds = not x.comment and 2 * x.plain > total and (x.about is None or x.about.holds)
+
+
 def ascii_lower(s: str) -> str:
     return re.sub("[A-Z]+", lambda m: m[0].lower(), s)
 
