@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from linkweave.llm import licenses, lines
 
@@ -16,10 +17,11 @@ def brute_lines(texts):
         split = t.split("\n")
         own = [i for i, x in enumerate(split) if x.strip(" \t\n\x0b\f\r")]
         gone = set()
-        for k in range(len(own) - 2):
-            w = tuple(split[i] for i in own[k : k + 3])
+        alone = [[i] for i in own if len(split[i].translate(str.maketrans("\t\x0b\f\r", "    ")).split(" ")) - split[i].translate(str.maketrans("\t\x0b\f\r", "    ")).split(" ").count("") >= 50]
+        for at in [own[k : k + 3] for k in range(len(own) - 2)] + alone:
+            w = tuple(split[i] for i in at)
             if w in seen:
-                gone.update(own[k : k + 3])
+                gone.update(at)
             seen[w] = True
         out.append(("\n".join(x for i, x in enumerate(split) if i not in gone), len(gone)))
     return out
@@ -40,6 +42,35 @@ def test_other_columns_stay(frame):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_long_lines_are_windows_by_themselves(frame):
+    long = " ".join(f"w{k}" for k in range(50))
+    short = " ".join(f"w{k}" for k in range(49))
+    rows = lines.dedup_lines(frame([f"a\n{long}\nb", f"c\n{long}\n\nd\n{short}", long, f"{long}\n{short}", short])).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [f"a\n{long}\nb", f"c\n\nd\n{short}", "", short, short] and [r.n_removed for r in rows] == [0, 1, 1, 1, 0]
+
+
+def test_rows_that_share_an_id_are_judged_each_by_their_text(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc"), (1, "x\na\nb\nc"), (None, "p\nq\nr"), (2, "p\nq\nr\ns"), (None, "y"), (3, None)], "doc_id int, text string")
+    texts = sorted(((r.doc_id or 0), r.text or "") for r in lines.dedup_lines(df).collect())
+    # Of id 1 the text with the lesser hash keeps the passage; rows without an id come first.
+    assert texts in ([(0, "p\nq\nr"), (0, "y"), (1, ""), (1, "x\na\nb\nc"), (2, "s"), (3, "")], [(0, "p\nq\nr"), (0, "y"), (1, "a\nb\nc"), (1, "x"), (2, "s"), (3, "")])
+
+
+def test_a_window_that_most_documents_share(frame, monkeypatch):
+    # Hot and other windows alike: most lines are one passage's.
+    texts = ["a\nb\nc"] * 300 + [f"u{k // 2}\nv\nw" for k in range(60)] + ["a\nb\nc\nd"]
+    assert [(r.text, r.n_removed) for r in lines.dedup_lines(frame(texts)).orderBy("doc_id").collect()] == brute_lines(texts)
+    monkeypatch.setattr("linkweave.llm.common.HOT_SHARE", 4)
+    assert [(r.text, r.n_removed) for r in lines.dedup_lines(frame(texts)).orderBy("doc_id").collect()] == brute_lines(texts)
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a\nb\nc", 5, "k"), (2, "a\nb\nc", 6, "l")], "doc_id long, text string, __id long, `a.b` string").withColumns({"id": F.lit("i"), "own": F.lit("o"), "Cut": F.lit("c"), "places": F.lit("p")})
+    out = lines.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a\nb\nc", 5, "k", "i", "o", "c", "p", 0), (2, "", 6, "l", "i", "o", "c", "p", 3)]
+
+
 def test_repeated_rows_are_alike(frame):
     df = frame(["a\nb\nc", "x\na\nb\nc"])
     rows = lines.dedup_lines(df.unionByName(df)).collect()
@@ -92,6 +123,39 @@ def test_notices_with_changes_are_found(frame):
     assert [r.labels for r in rows] == ["mit", "", ""] and 0.7 <= rows[0].score < 1 and rows[0].n_base == 0
 
 
+def test_spans_are_in_order_and_of_bounded_width(frame):
+    notice = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met".split()
+    backwards = " filler ".join(f"{a} {b}" for a, b in reversed(list(zip(notice, notice[1:]))))
+    spread = " ".join(w + " filler" * 6 * (k % 3 == 2) for k, w in enumerate(notice))
+    drift = notice[:5] + ["x"] * 4 + notice[5:12] + ["y"] * 4 + notice[12:]
+    too_far = notice[:5] + ["x"] * 17 + notice[5:12] + ["y"] * 17 + notice[12:]
+    texts = [backwards, spread, " ".join(drift), " ".join(too_far), " ".join(notice), " ".join(notice * 3)]
+    docs = frame(texts)
+    assert [r.labels for r in licenses.scan(docs).orderBy("doc_id").collect()] == ["", "", "bsd", "", "bsd", "bsd"]
+    c = duckdb.connect()
+    c.register("documents", docs.select("doc_id", "text").toArrow())
+    assert [r[0] for r in c.sql(f"SELECT labels FROM ({licenses.OP2_SQL}) ORDER BY doc_id").fetchall()] == ["", "", "bsd", "", "bsd", "bsd"]
+
+
+def test_longest_reading_in_order(spark):
+    rng = random.Random(7)
+    rows = [([(rng.randint(0, 9), rng.randint(0, 12)) for _ in range(rng.randint(0, 9))],) for _ in range(150)]
+
+    def brute(found):
+        best = {}
+        for x in sorted(found):
+            best[x] = 1 + max((n for y, n in best.items() if y[0] < x[0] and y[1] < x[1]), default=0)
+        return max(best.values(), default=0)
+
+    df = spark.createDataFrame(rows, "found array<struct<place:int,at:int>>").select("found", licenses.in_order(F.col("found")).alias("n"))
+    assert all(r.n == brute([tuple(x) for x in r.found]) for r in df.collect())
+
+
+def test_rows_that_share_an_id_are_scanned_each(spark):
+    df = spark.createDataFrame([(1, "the mit license"), (1, "mit"), (1, "the mit license"), (1, "license"), (None, "mit license"), (None, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0), r.n_words, r.n_base) for r in licenses.scan(df).collect()) == [(0, 0, 0), (0, 2, 1), (1, 1, 0), (1, 1, 0), (1, 3, 1), (1, 3, 1)]
+
+
 def test_sql_gives_the_same_rows(frame):
     texts = [t for t in awkward(4) if t is None or "\x00" not in t] + ["Released under the MIT License.", licenses.NOTICES[4][0] * 2]
     docs = frame(texts).select("doc_id", "text")
