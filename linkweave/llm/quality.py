@@ -1,7 +1,11 @@
 """Quality rules: a table of thresholds compiled into one Spark projection, without user functions.
 
-Null text counts as no words, and so fails. Ties can't arise: a bound itself passes. Repeated rows are judged each alike;
-an empty table gives an empty table. Columns of the input other than the id and the text play no part.
+Null text counts as no words, and so fails, as an empty one does. Ties can't arise: a bound itself passes. Very long texts are measured
+whole. Repeated rows are judged each alike; an empty table gives an empty table. Columns of the input other than the text play no part,
+whatever their names; those named as a measure are replaced.
+
+The stop-word rule knows the function words of four languages, English, French, German and Spanish. Clean text of a language that shares few of them
+fails it: give such text rules without it.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import SPACE_CHARS, ascii_lower, let, space_words, table
+from linkweave.llm.common import SPACE_CHARS, ascii_lower, let, packed, space_words, table, unpacked
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -49,21 +53,23 @@ RULES = (
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
     """Words in windows of width words that the array holds twice or more, the first included.
 
-    Windows are sorted by two hashes of 64 bits and their place; equal neighbours are repeats, and their sorted places are merged into spans.
+    Windows are sorted by a hash of 64 bits and their place; neighbours of equal hash whose words are equal are repeats, and their sorted places
+    are merged into spans. So windows that differ never count; a collision within a text could hide one only between two equal ones.
     """
 
     def keyed(w: Column) -> Column:
         starts = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i + 1, width)))
 
-    def spans(h: Column) -> Column:
+    def spans(w: Column, h: Column) -> Column:
         ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
-        same = lambda s, i, j: F.coalesce(F.get(s, i)["h"] == F.get(s, j)["h"], F.lit(False))
+        window = lambda s, i: F.slice(w, F.get(s, i)["at"] + 1, width)
+        same = lambda s, i, j: F.coalesce((F.get(s, i)["h"] == F.get(s, j)["h"]) & (window(s, i) == window(s, j)), F.lit(False))
         places = let(ordered, lambda s: F.array_sort(F.transform(F.filter(s, lambda x, i: same(s, i, i - 1) | same(s, i, i + 1)), lambda x: x["at"])))
         covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(width), F.coalesce(F.get(p, i + 1) - x, F.lit(width)))), F.lit(0), lambda a, x: a + x)
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(places, covered))
 
-    return let(words, lambda w: let(keyed(w), spans))
+    return let(words, lambda w: let(keyed(w), lambda h: spans(w, h)))
 
 
 def same_again(words: Column) -> Column:
@@ -83,19 +89,18 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter(lowered, lambda x: F.rtrim(x, F.lit(".,;:!?#*$%&|<>")).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("l"),
     )
-    out = df.withColumn("__m", measured)
-    return out.withColumns(
-        {
-            "n_words": F.col("__m.w.n_words"),
-            "word_chars": F.length(F.translate(body, SPACE_CHARS, "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.col("__m.l.n"),
-            "n_dup_lines": F.col("__m.l.dup"),
-            "n_stop_words": F.col("__m.n_stop_words"),
-            "n_repeat_words": F.col("__m.w.n_repeat_words"),
-            "n_same_again": F.col("__m.w.n_same_again"),
-        }
-    ).drop("__m")
+    out = df.select(packed(df, "row"), measured.alias("m"), body.alias("body"))
+    columns = {
+        "n_words": F.col("m.w.n_words"),
+        "word_chars": F.length(F.translate("body", SPACE_CHARS, "")).cast("long"),
+        "n_symbols": (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long"),
+        "n_lines": F.col("m.l.n"),
+        "n_dup_lines": F.col("m.l.dup"),
+        "n_stop_words": F.col("m.n_stop_words"),
+        "n_repeat_words": F.col("m.w.n_repeat_words"),
+        "n_same_again": F.col("m.w.n_same_again"),
+    }
+    return out.select(*unpacked(df, "row", tuple(columns)), *[c.alias(n) for n, c in columns.items()])
 
 
 def base_failed() -> Column:

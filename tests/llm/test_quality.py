@@ -66,3 +66,17 @@ def test_sql_gives_the_same_rows(frame):
 def test_windows_at_their_bounds(frame, n):
     t = " ".join(f"w{i % 8}" for i in range(n))
     assert quality.judge(frame([t])).first().n_repeat_words == brute(t)[4]
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([("a b " * 20, 1, 2, "x", 3)], "text string, __m int, m int, `row` string, N_words int")
+    out = quality.judge(df)
+    assert out.columns[:4] == ["text", "__m", "m", "row"] and "N_words" not in out.columns
+    assert tuple(out.first())[1:5] == (1, 2, "x", 40)
+
+
+def test_words_of_equal_windows_are_compared(frame, monkeypatch):
+    # A hash that tells nothing apart: only the words do.
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *_: quality.F.lit(1).cast("long"))
+    texts = [" ".join(f"w{k}" for k in range(30)), "w " * 30]
+    assert [r.n_repeat_words for r in quality.judge(frame(texts)).orderBy("doc_id").collect()] == [0, 30]
