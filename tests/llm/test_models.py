@@ -119,3 +119,49 @@ def test_toxicity_of_awkward_texts(spark, frame):
     assert toxicity.score(frame([None, "", "a"]), none).where("predicted = 1").count() == 0
     assert toxicity.score(frame(["a"]).limit(0), field).count() == 0
     assert toxicity.learn([("a", 1), ("b", 1)]).tags("a")[0] < 0.5
+
+
+def brute_languages(rows, texts):
+    """The same codes from the definition: plain loops and dictionaries, a weight for each bucket and bit."""
+    import math
+    from collections import Counter
+
+    def grams(t):
+        raw = f" {t.lower()} ".encode()
+        return Counter(((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2654435761 % 2**32) >> (32 - language.BITS) for k in range(len(raw) - 2))
+
+    counts = {}
+    for lang, t in rows:
+        counts.setdefault(lang, Counter()).update(grams(t))
+    names = sorted(counts)
+    share = [[(counts[x][k] + 0.5) / (sum(counts[x].values()) + 0.5 * language.BUCKETS) for k in range(language.BUCKETS)] for x in names]
+    code = language.codewords(len(names)).tolist()
+    bits = range(len(code[0]))
+    mean = lambda k, b, s: sum(share[i][k] for i in range(len(names)) if code[i][b] == s) / sum(c[b] == s for c in code)
+    weight = [[math.log(mean(k, b, 1) / mean(k, b, -1)) for b in bits] for k in range(language.BUCKETS)]
+    expected = [[sum(share[i][k] * weight[k][b] for k in range(language.BUCKETS)) * code[i][b] for b in bits] for i in range(len(names))]
+    trust = [max(min(e[b] for e in expected), 1e-6) for b in bits]
+    scale = 4 / (sum(abs(x) for e in expected for x in e) / len(names) / len(bits))
+    out = []
+    for t in texts:
+        if not t or not any(map(str.isalpha, t)):
+            out.append(("und", 0.0, True))
+            continue
+        g = grams(t)
+        margin = [sum(n * weight[k][b] for k, n in g.items()) / sum(g.values()) * scale for b in bits]
+        loss = [sum(math.log1p(math.exp(-c[b] * margin[b])) * trust[b] for b in bits) / sum(trust) for c in code]
+        best = min(range(len(loss)), key=lambda i: loss[i])
+        odds = [math.exp(-4 * (x - loss[best])) for x in loss]
+        out.append((names[best], odds[best] / sum(odds), loss[best] > 0.9 * sorted(loss)[1]))
+    return out
+
+
+def test_languages_against_the_definition(frame):
+    rng = random.Random(12)
+    langs = {i: rng.choice(list(VOCABULARY)) for i in range(60)}
+    texts = [prose(langs[i], rng.randint(1, 20), rng) for i in range(60)] + [None, "", "12", "und so und", "the casa", "Ñ é ß"]
+    docs = frame(texts, langs | {k: None for k in range(60, 66)})
+    got = {r.doc_id: r for r in language.identify(docs, language.fit(docs)).collect()}
+    want = brute_languages([(langs[i], texts[i]) for i in range(60) if crc_of_id(i) % 4 != 2], texts)
+    for i, (name, score, ambiguous) in enumerate(want):
+        assert (got[i].lang_pred, got[i].ambiguous) == (name, ambiguous) and got[i].score == pytest.approx(score, abs=1e-6), texts[i]
