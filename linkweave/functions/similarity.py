@@ -81,20 +81,12 @@ def ratio(a: str, b: str) -> float:
     return 1.0 if a == b else 2 * common_length(a, b) / total
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter value with a stretch of the longer one of its length, or less at either end.
+def best_stretch(a: str, b: str) -> float:
+    """The best ratio of a with a stretch of b of its length, or less at either end of b. a is the shorter, or of b's length.
 
     From one stretch to the next the common length grows by one at most, so stretches that can't beat the best so far are passed over.
     """
-    if not a or not b:
-        return float(a == b)
-    if len(a) > len(b):
-        a, b = b, a
     n, m = len(a), len(b)
-    if a in b:
-        return 1.0
-    if n == m:
-        return ratio(a, b)
     places, best, at = places_of(a), 0, 0
     while at <= m - n:
         found = common_length(a, b[at : at + n], places)
@@ -109,6 +101,18 @@ def partial_ratio(a: str, b: str) -> float:
     return out
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter value with a stretch of the longer one; of values of one length, either way round."""
+    if not a or not b:
+        return float(a == b)
+    if len(a) > len(b):
+        a, b = b, a
+    if a in b:
+        return 1.0
+    out = best_stretch(a, b)
+    return max(out, best_stretch(b, a)) if len(a) == len(b) else out
+
+
 def token_sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 

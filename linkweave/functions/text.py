@@ -81,9 +81,8 @@ LEGAL_ALL = LEGAL_BASE + LEGAL_FRENCH + LEGAL_OTHER
 FAST_NAME_MARKS = ",.;:!?\"'()[]{}/\\#@*+"
 FAST_ADDRESS_MARKS = ",.;:#-/"
 
-# Unicode blocks of the scripts whose letters make tokens, beside ASCII letters and digits.
-SCRIPT_BLOCKS = ("0900-097F", "0C00-0C7F", "0B80-0BFF", "0980-09FF", "0A00-0A7F", "0A80-0AFF", "0C80-0CFF", "0D00-0D7F")
-TOKEN_CLASS = "[a-zA-Z0-9" + "".join(f"\\u{a}-\\u{b}" for a, b in (x.split("-") for x in SCRIPT_BLOCKS)) + "]+"
+# Fixed value: letters and digits that make tokens, of ASCII and of eight scripts.
+TOKEN_CLASS = r"[a-zA-Z0-9\u0900-\u097F\u0C00-\u0C7F\u0B80-\u0BFF\u0980-\u09FF\u0A00-\u0A7F\u0A80-\u0AFF\u0C80-\u0CFF\u0D00-\u0D7F]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII but for letters, digits and white space.
