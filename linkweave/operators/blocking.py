@@ -7,12 +7,15 @@ higher-order expression a query row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkweave.sources.tables import cached
+
 SEPARATOR = "\u0001"
 #: Ids of one key that a fold can use at most.
 ARRIVALS = 150
@@ -317,10 +320,10 @@ def tests_of(f: Fold) -> list[str]:
 
 def assemble_all(all_heads: DataFrame, query_keys: DataFrame, target_keys: DataFrame, folds: dict[str, Fold]) -> DataFrame:
     """s1_id and a column of candidates for each fold, for every query entity, those without any included. Lists are joined once for all."""
-    arrivals = UNLIMITED if any(f.total == UNLIMITED for f in folds.values()) else ARRIVALS
+    assert all(f.total < UNLIMITED for f in folds.values()), "open_pairs() is for folds without a total"
     channels = list(dict.fromkeys(s.channel for f in folds.values() for s in f.steps))
     tests = sorted({t for f in folds.values() for t in tests_of(f)})
-    found = hits(query_keys.where(F.col("channel").isin(channels)), postings(target_keys, arrivals), channels, tests, arrivals)
+    found = hits(query_keys.where(F.col("channel").isin(channels)), postings(target_keys), channels, tests)
     rows = all_heads.select(F.col("entity_id").alias("s1_id")).join(found.select("s1_id", *[fold(f).alias(n) for n, f in folds.items()]), "s1_id", "left")
     return rows.withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in folds})
 
@@ -335,6 +338,23 @@ def pairs(assembled: DataFrame) -> DataFrame:
     return assembled.select("s1_id", F.posexplode("cands").alias("rank", "cand_id"))
 
 
+def open_pairs(query_keys: DataFrame, target_keys: DataFrame, f: Fold) -> DataFrame:
+    """s1_id, cand_id, step: what a fold without totals or tests selects, and the place of the first step that does. For steps of one key a query row.
+
+    Pairs come from joins, never from lists in a row; of steps that count a key's first ids, only those targets are joined.
+    """
+    assert all(s.below == UNLIMITED and s.frequent is None and (s.head or s.quota == UNLIMITED) for s in f.steps) and f.total == UNLIMITED
+    order = F.create_map(*[x for k, s in enumerate(f.steps) for x in (F.lit(s.channel), F.lit(k))])
+    whole = [s.channel for s in f.steps if s.quota == UNLIMITED]
+    quota = F.create_map(*[x for s in f.steps if s.quota < UNLIMITED for x in (F.lit(s.channel), F.lit(s.quota))])
+    t = target_keys.select("family", "key", F.col("entity_id").alias("cand_id"))
+    first = t.where(~F.col("family").isin(whole)).withColumn("at", F.row_number().over(Window.partitionBy("family", "key").orderBy("cand_id")))
+    first = first.where(F.col("at") <= max(s.quota for s in f.steps if s.quota < UNLIMITED)).where(F.col("at") <= quota[F.col("family")]).drop("at")
+    kept = t.where(F.col("family").isin(whole)).unionByName(first)
+    q = query_keys.select(F.col("entity_id").alias("s1_id"), "channel", "family", "key")
+    return q.join(kept, ["family", "key"]).groupBy("s1_id", "cand_id").agg(F.min(order[F.col("channel")]).alias("step"))
+
+
 def evidence(query_keys: DataFrame, target_keys: DataFrame, candidates: DataFrame) -> DataFrame:
     """s1_id, cand_id, sources: the channels that speak for each selected pair."""
     q, t = query_keys.withColumnRenamed("entity_id", "s1_id"), target_keys.select("family", "key", F.col("entity_id").alias("cand_id"))
@@ -347,21 +367,28 @@ def evidence(query_keys: DataFrame, target_keys: DataFrame, candidates: DataFram
 # Token strategies.
 
 
-def equal_values(heads: DataFrame, targets: DataFrame, columns: list[str], guard: str) -> DataFrame:
-    """s1_id, cand_id: pairs that agree in all the columns."""
+def equal_values(heads: DataFrame, targets: DataFrame, columns: list[str], guard: str, most: int | None = None) -> DataFrame:
+    """s1_id, cand_id: pairs that agree in all the columns. most: with only the first targets of a key, by id, which are the same for all who have it."""
     a, b = heads.where(guard).select(F.col("entity_id").alias("s1_id"), *columns), targets.where(guard).select(F.col("entity_id").alias("cand_id"), *columns)
+    if most is not None:
+        # The rank is limited before the shuffle and before the join, so a hot key costs a query row no more than most.
+        b = b.withColumn("at", F.row_number().over(Window.partitionBy(*columns).orderBy("cand_id"))).where(F.col("at") <= most)
     return a.join(b, columns).select("s1_id", "cand_id")
 
 
-def shared_tokens(heads: DataFrame, targets: DataFrame, column: str, least: int, cap: int | None = None) -> DataFrame:
+def shared_tokens(heads: DataFrame, targets: DataFrame, column: str, least: int, cap: int | None = None, most_targets: int | None = None) -> DataFrame:
     """s1_id, cand_id, pos: pairs that share a token of so many characters, and the first place of one in the query's list.
 
+    most_targets: tokens that more targets have are left out, which bounds what a token can cost; by default none is, as the strategies are defined.
+
     cap: of the soft cap that follows. Once a token's own list has so many targets, later tokens of that query can't count, so they are
     left out before the lists are joined; frequent tokens are then met once a query row at most.
     """
     cut = lambda df, name: df.select(F.col("entity_id").alias(name), F.posexplode(column).alias("pos", "tok")).where(F.length("tok") >= least)
     a = cut(heads, "s1_id").groupBy("s1_id", "tok").agg(F.min("pos").alias("pos"))
     b = cut(targets, "cand_id").select("cand_id", "tok").distinct()
+    if most_targets is not None:
+        b = b.join(b.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > most_targets).select("tok"), "tok", "left_anti")
     if cap is not None:
         sizes = b.groupBy("tok").agg(F.count("*").alias("n"))
         before = F.max("n").over(Window.partitionBy("s1_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
@@ -376,11 +403,6 @@ def soft_cap(found: DataFrame, cap: int) -> DataFrame:
     return found.join(open_at.select("s1_id", "pos"), ["s1_id", "pos"], "left_semi").select("s1_id", "cand_id")
 
 
-def hard_cap(found: DataFrame, cap: int) -> DataFrame:
-    ranked = found.withColumn("at", F.row_number().over(Window.partitionBy("s1_id").orderBy("cand_id")))
-    return ranked.where(F.col("at") <= cap).select("s1_id", "cand_id")
-
-
 def union(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.select("s1_id", "cand_id") for f in found]).distinct()
 
@@ -414,3 +436,9 @@ def strategy_stats(heads: DataFrame, found: DataFrame, true_links: DataFrame, ta
         F.col("covered").alias("covered_links"),
         "total_links",
     )
+
+
+def run_strategies(strategies: dict[str, Callable[[], DataFrame]], path: str, spark: SparkSession) -> DataFrame:
+    """strategy, s1_id, cand_id of all strategies. Each is written to its own table under path; those that a run before has written whole are read."""
+    found = [cached(spark, f"{path}/{name}", lambda make=make: make().select("s1_id", "cand_id").distinct()).withColumn("strategy", F.lit(name)) for name, make in strategies.items()]
+    return reduce(DataFrame.unionByName, found)

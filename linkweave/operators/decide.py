@@ -61,14 +61,16 @@ def settings(spark: SparkSession, gates=GATES, thresholds=THRESHOLDS, gaps=GAPS,
 def search(scored: DataFrame, links: DataFrame, heads: DataFrame, grid: DataFrame, empty_precision: float = 0.0, digits: int = 4) -> DataFrame:
     """Macro scores of every setting, in one job. empty_precision: of no decision where there are links.
 
-    A setting's decisions only need the pairs' ranks, so true and predicted counts are summed by query entity and setting, and entities
-    without any decision are added from their number: no row of the grid times all entities is made for those.
+    A query entity's ranked pairs, as many as its candidates, are folded into one row once; each setting counts its true and predicted ones there, so the
+    only rows that are shuffled again are sums by setting. Entities without any decision are added from their number.
     """
-    pairs = ranked(scored).join(links.select("s1_id", F.col("tid").alias("cand_id"), F.lit(1).alias("true")), ["s1_id", "cand_id"], "left")
-    fits = (F.col("top") >= F.col("gate")) & (F.col("score") >= F.col("least")) & (F.col("top") - F.col("score") <= F.col("gap")) & (F.col("rank") <= F.col("cap"))
+    pairs = ranked(scored).join(links.select("s1_id", F.col("tid").alias("cand_id"), F.lit(True).alias("true")), ["s1_id", "cand_id"], "left")
+    folded = pairs.groupBy("s1_id").agg(F.max("top").alias("top"), F.collect_list(F.struct("score", "rank", F.coalesce("true", F.lit(False)).alias("true"))).alias("pairs"))
     # The grid is a few hundred rows by construction.
-    chosen = pairs.join(F.broadcast(grid), fits)
-    counts = chosen.groupBy("setting", "s1_id").agg(F.count("*").alias("np"), F.sum(F.coalesce("true", F.lit(0))).alias("tp"))
+    met = folded.join(F.broadcast(grid), F.col("top") >= F.col("gate"))
+    fits = lambda p: (p["score"] >= F.col("least")) & (F.col("top") - p["score"] <= F.col("gap")) & (p["rank"] <= F.col("cap"))
+    chosen = met.select("setting", "s1_id", F.filter("pairs", fits).alias("chosen")).where(F.size("chosen") > 0)
+    counts = chosen.select("setting", "s1_id", F.size("chosen").cast("long").alias("np"), F.size(F.filter("chosen", lambda p: p["true"])).cast("long").alias("tp"))
     truth = links.groupBy("s1_id").agg(F.count("*").alias("nt"))
     scored_rows = E.with_scores(counts.join(truth, "s1_id", "left").withColumn("nt", F.coalesce("nt", F.lit(0))), empty_precision)
     sums = scored_rows.groupBy("setting").agg(
@@ -101,18 +103,33 @@ def sweep(scored: DataFrame, links: DataFrame, heads: DataFrame, thresholds: lis
     return search(scored, links, heads, grid).drop("gate", "gap", "cap")
 
 
-def compare(scored: DataFrame, links: DataFrame, heads: DataFrame, least: float) -> DataFrame:
-    """Scores of the bare threshold and of each strategy beside it, by name: settings of one search."""
+def strategies(spark: SparkSession, least: float) -> DataFrame:
+    """setting, strategy, gate, least, gap, cap: the bare threshold and each strategy beside it, in order."""
     any_gap, any_cap = 10.0, 2**31 - 1
     named = {"pure threshold": (least, any_gap, any_cap)}
     named |= {f"score gap {d}": (least, d, any_cap) for d in STRATEGY_GAPS}
     named |= {f"match cap {k}": (least, any_gap, k) for k in STRATEGY_CAPS}
     named |= {f"singleton gate {b}": (least + b, any_gap, any_cap) for b in STRATEGY_BONUSES}
     values = ", ".join(f"({i}, '{name}', {gate}D, {least}D, {gap}D, {cap})" for i, (name, (gate, gap, cap)) in enumerate(named.items()))
-    grid = scored.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(setting, strategy, gate, least, gap, cap)")
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(setting, strategy, gate, least, gap, cap)")
+
+
+def compare(scored: DataFrame, links: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """Scores of the bare threshold and of each strategy beside it, by name: settings of one search."""
+    grid = strategies(scored.sparkSession, least)
     found = search(scored, links, heads, grid.drop("strategy"), 1.0, 6)
     return found.join(grid.select("setting", "strategy"), "setting").select("strategy", F.col("macro_f05").alias("f05"), "precision", "recall", "singleton_accuracy")
 
 
-def best_strategy(compared: DataFrame) -> DataFrame:
-    return compared.orderBy(F.desc("f05"), "strategy").limit(1)
+def best_strategy(scored: DataFrame, links: DataFrame, heads: DataFrame, least: float) -> DataFrame:
+    """One row: the strategy with the highest score, the first of equals, with its setting."""
+    grid = strategies(scored.sparkSession, least)
+    found = best(search(scored, links, heads, grid.drop("strategy"), 1.0, 6)).select("setting", F.col("macro_f05").alias("f05"))
+    return grid.join(F.broadcast(found), "setting")
+
+
+def dispatch(scored: DataFrame, chosen: DataFrame) -> DataFrame:
+    """s1_id, cand_id, score, strategy: the decisions by the one setting that chosen holds."""
+    met = ranked(scored).join(F.broadcast(chosen.select("strategy", "gate", "least", "gap", "cap")), F.col("top") >= F.col("gate"))
+    fits = (F.col("score") >= F.col("least")) & (F.col("top") - F.col("score") <= F.col("gap")) & (F.col("rank") <= F.col("cap"))
+    return met.where(fits).select("s1_id", "cand_id", "score", "strategy")

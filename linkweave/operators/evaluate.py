@@ -98,24 +98,32 @@ def _common(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
+# Outcomes of a link by whether the older set holds it (1), the newer (2) or both (3), each with its category, and categories of links that neither holds.
+OUTCOMES = (("STILL_MISSED", ""), ("REGRESSED_IN_V6", "Regression"), ("RECOVERED_BY_V6", "Recovered"), ("RETAINED_BOTH", "Both"))
+MISSED = (
+    "Country Mismatch",
+    "Missing Name",
+    "Zero Token Overlap / Severe Distortion",
+    "Single Weak Token Overlap (<2 tokens)",
+    "Quota Exceeded / Truncated Beyond Cap",
+)
+
+
 def miss_forensics(links: DataFrame, old: DataFrame, new: DataFrame, heads: DataFrame, targets: DataFrame) -> DataFrame:
     """Each true link by whether two candidate sets hold it, and why neither does. Sides: entity_id, norm_country, business_name, tokens."""
     side = lambda df, key, p: df.select(F.col("entity_id").alias(key), *[F.col(c).alias(p + c) for c in ("norm_country", "business_name", "tokens")])
     held = lambda df, name: df.select("s1_id", F.col("cand_id").alias("tid"), F.lit(True).alias(name)).distinct()
     rows = links.select("s1_id", "tid").join(held(old, "in_old"), ["s1_id", "tid"], "left").join(held(new, "in_new"), ["s1_id", "tid"], "left").fillna(False, ["in_old", "in_new"])
     rows = rows.join(side(heads, "s1_id", "a_"), "s1_id", "left").join(side(targets, "tid", "b_"), "tid", "left")
-    status = (
-        F.when(F.col("in_new") & ~F.col("in_old"), "RECOVERED").when(F.col("in_new"), "RETAINED").when(F.col("in_old"), "REGRESSED").otherwise("STILL_MISSED")
-    )
     common = _common("a_tokens", "b_tokens")
-    why = (
-        F.when(F.col("in_new") | F.col("in_old"), "none")
-        .when(F.col("a_norm_country") != F.col("b_norm_country"), "country mismatch")
-        .when((F.col("a_business_name") == "") | (F.col("b_business_name") == ""), "missing name")
-        .when(common == 0, "no common token")
-        .when(common == 1, "one common token")
-        .otherwise("beyond quota")
+    missed = (
+        F.when(F.col("a_norm_country") != F.col("b_norm_country"), MISSED[0])
+        .when((F.col("a_business_name") == "") | (F.col("b_business_name") == ""), MISSED[1])
+        .otherwise(F.when(common == 0, MISSED[2]).when(common == 1, MISSED[3]).otherwise(MISSED[4]))
     )
+    both = F.col("in_old").cast("int") + 2 * F.col("in_new").cast("int")
+    status, why = (F.element_at(F.array(*[F.lit(x[k]) for x in OUTCOMES]), both + 1) for k in (0, 1))
+    why = F.when(both == 0, missed).otherwise(why)
     return rows.select("s1_id", "tid", "in_old", "in_new", status.alias("status"), why.alias("category"))
 
 

@@ -180,6 +180,10 @@ def rich_features(pairs: DataFrame, heads: DataFrame, targets: DataFrame, fuzzy:
     return out.withColumns(more).drop("__same", "__known")
 
 
+#: Characters of a hash under which rows are counted.
+PREFIX = 4
+
+
 def by_hash(seed: int, *columns: str) -> Column:
     """A rank key that any engine can make again: md5 of the seed and the columns."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
@@ -193,11 +197,15 @@ def training_pairs(pairs: DataFrame, links: DataFrame, ratio: float = 5.0, most:
     at = F.row_number().over(Window.partitionBy("s1_id", "label").orderBy(by_hash(seed, "s1_id", "cand_id"), "cand_id"))
     allowed = F.least(F.greatest(F.lit(1), F.bround(n_pos * ratio).cast("int")), F.lit(most))
     own = labelled.withColumns({"at": at, "allowed": allowed}).where((F.col("label") == 1) | (F.col("at") <= F.col("allowed")))
+    # The overall trim, by hash: counts under a prefix place the bound in one prefix, whatever the number of rows, and rows are ranked within prefixes only.
     total = own.agg(F.bround(F.sum("label") * ratio).cast("long").alias("most"))
-    # The overall trim is a top-n by hash: no window over all rows.
-    n = total.first()["most"] or 0
-    negatives = own.where("label = 0").orderBy(by_hash(seed, "cand_id", "s1_id"), "s1_id", "cand_id").limit(n)
-    return own.where("label = 1").unionByName(negatives).select("s1_id", "cand_id", "label")
+    negatives = own.where("label = 0").select("s1_id", "cand_id", "label", by_hash(seed, "cand_id", "s1_id").alias("h")).withColumn("prefix", F.substring("h", 1, PREFIX))
+    counts = negatives.groupBy("prefix").agg(F.count("*").alias("c"))
+    # At most 16 ** PREFIX rows beside one.
+    placed = counts.select("prefix", (F.sum("c").over(Window.orderBy("prefix")) - F.col("c")).alias("before")).join(F.broadcast(total), how="cross").where("before < most")
+    local = F.row_number().over(Window.partitionBy("prefix").orderBy("h", "s1_id", "cand_id"))
+    kept = negatives.join(F.broadcast(placed), "prefix").withColumn("local", local).where(F.col("before") + F.col("local") <= F.col("most"))
+    return own.where("label = 1").select("s1_id", "cand_id", "label").unionByName(kept.select("s1_id", "cand_id", "label"))
 
 
 def first_negatives(pairs: DataFrame, links: DataFrame, ratio: int = 5) -> DataFrame:

@@ -1,14 +1,23 @@
 """Retrieval by TF-IDF cosine: n-grams exploded, weighted and joined, without vectors on the driver.
 
-Weights: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length 1, fitted on the targets; terms in fewer than min_df targets are dropped,
-and of more terms than max_features the most frequent stay.
+Weights: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length 1, fitted on the targets whose text isn't blank; terms in fewer than
+min_df of them are dropped, and of more terms than max_features the most frequent stay.
+
+Equal texts are compared once. A query text's nearest targets are found in three steps, so that frequent terms don't bring all who share them together:
+the targets with the greatest weights of each of its terms give a bound that the k-th best similarity can't be under; only targets that could
+reach the bound by a term, given the most that all its later ones can add, become candidates; and those are compared in full. No target that belongs
+among the k nearest is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkweave.sources.tables import written
+
 
 def word_terms(c: Column) -> Column:
     """Words of two characters at least, and pairs of neighbours."""
@@ -31,25 +40,61 @@ def char_terms(c: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.concat(*[runs(w, n) for n in sizes])))
 
 
-def counts(df: DataFrame, terms: Column) -> DataFrame:
-    return df.select("entity_id", F.explode(terms).alias("term")).groupBy("entity_id", "term").agg(F.count("*").alias("tf"))
+def texts_of(df: DataFrame, column: str, most: int) -> DataFrame:
+    """text, key (the least id), n and ids (the first ids, so many at most) of each text that isn't blank."""
+    rows = df.select("entity_id", F.col(column).alias("text")).where(F.trim("text") != "")
+    # The rank is limited before the shuffle; counts are summed there too: a text that very many rows have is a few rows a task.
+    first = rows.withColumn("at", F.row_number().over(Window.partitionBy("text").orderBy("entity_id"))).where(F.col("at") <= most)
+    lists = first.groupBy("text").agg(F.array_sort(F.collect_list("entity_id")).alias("ids"))
+    return lists.join(rows.groupBy("text").agg(F.count("*").alias("n")), "text").withColumn("key", F.col("ids")[0])
+
 
+def counts(texts: DataFrame, terms: Column) -> DataFrame:
+    return texts.select("key", "n", F.explode(terms).alias("term")).groupBy("key", "n", "term").agg(F.count("*").alias("tf"))
 
-def top_similar(heads: DataFrame, targets: DataFrame, terms: Column, top_k: int, min_df: int = 2, max_features: int = 200_000) -> DataFrame:
-    """s1_id, cand_id, sim, rank: the nearest targets of each query entity with a similarity over 0; ties go by id."""
-    of_targets = counts(targets, terms)
-    stats = of_targets.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+
+#: What rounding may take from a similarity.
+SLACK = 2e-6
+
+
+def top_similar(heads: DataFrame, targets: DataFrame, column: str, terms_of: Callable[[Column], Column], top_k: int, min_df: int = 2, max_features: int = 200_000) -> DataFrame:
+    """s1_id, cand_id, sim, rank: the nearest targets of each query entity with a similarity over 0; ties go by id. Blank texts have none."""
+    terms = terms_of(F.col("text"))
+    head_texts, target_texts = texts_of(heads, column, 1), texts_of(targets, column, top_k)
+    of_targets = counts(target_texts, terms)
+    stats = of_targets.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.col("tf") * F.col("n")).alias("total")).where(F.col("df") >= min_df)
     kept = stats.orderBy(F.desc("total"), "term").limit(max_features)
-    n = targets.agg(F.count("*").alias("n"))
-    idf = kept.join(F.broadcast(n), how="cross").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = target_texts.agg(F.sum("n").alias("n_rows"))
+    idf = kept.join(F.broadcast(n), how="cross").select("term", (F.log((1 + F.col("n_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
 
-    def weighted(tf: DataFrame) -> DataFrame:
+    def weighted(tf: DataFrame, key: str, name: str) -> DataFrame:
         raw = tf.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-        norm = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return raw.join(norm, "entity_id").select("entity_id", "term", (F.col("w") / F.col("norm")).alias("w"))
-
-    a = weighted(counts(heads, terms)).select(F.col("entity_id").alias("s1_id"), "term", F.col("w").alias("a"))
-    b = weighted(of_targets).select(F.col("entity_id").alias("cand_id"), "term", F.col("w").alias("b"))
-    sims = a.join(b, "term").groupBy("s1_id", "cand_id").agg(F.round(F.sum(F.col("a") * F.col("b")), 6).alias("sim")).where("sim > 0")
-    ranked = sims.withColumn("rank", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("sim"), "cand_id")))
-    return ranked.where(F.col("rank") <= top_k)
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
+        return raw.select(F.col("key").alias(key), "term", (F.col("w") / norm).alias(name))
+
+    # Both are read several times below.
+    a, b = written(weighted(counts(head_texts, terms), "head", "a"), "tfidf"), written(weighted(of_targets, "target", "b"), "tfidf")
+    best_first = Window.partitionBy("term").orderBy(F.desc("b"), "target")
+    champions = b.withColumn("at", F.row_number().over(best_first)).where(F.col("at") <= top_k).drop("at")
+    most = champions.groupBy("term").agg(F.max("b").alias("most"))
+    part = a.join(champions, "term").groupBy("head", "target").agg(F.sum(F.col("a") * F.col("b")).alias("part"))
+    ranked = part.withColumn("at", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("part"))))
+    bound = ranked.where(F.col("at") == top_k).select("head", F.col("part").alias("bound"))
+    # add: the most that a term can add; rest: the most that it and those of less can.
+    can = a.join(most, "term").withColumn("add", F.col("a") * F.col("most"))
+    can = can.withColumn("rest", F.sum("add").over(Window.partitionBy("head").orderBy("add", "term")))
+    can = can.withColumn("others", F.sum("add").over(Window.partitionBy("head")) - F.col("add")).join(bound, "head", "left")
+    least = F.coalesce("bound", F.lit(0.0)) - SLACK
+    open_terms = can.where(F.col("rest") >= least).select("head", "term", "a", ((least - F.col("others")) / F.col("a")).alias("least_b"))
+    found = open_terms.join(b, "term").where(F.col("b") >= F.col("least_b")).select("head", "target").distinct()
+    vector = lambda df, key, w: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", w))).alias(w))
+    both = found.join(vector(a, "head", "a"), "head").join(vector(b, "target", "b"), "target")
+    product = F.aggregate(F.map_entries("a"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("b", x["key"]), F.lit(0.0)))
+    sims = both.select("head", "target", F.round(product, 6).alias("sim")).where("sim > 0")
+    # The first k ids lie in the first k texts by similarity and least id, since each text before has an id before.
+    nearest = sims.withColumn("at", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("sim"), "target"))).where(F.col("at") <= top_k)
+    with_ids = nearest.join(target_texts.select(F.col("key").alias("target"), "ids"), "target").select("head", "sim", F.explode("ids").alias("cand_id"))
+    last = with_ids.withColumn("rank", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("sim"), "cand_id"))).where(F.col("rank") <= top_k)
+    names = head_texts.select(F.col("key").alias("head"), "text")
+    own = heads.select(F.col("entity_id").alias("s1_id"), F.col(column).alias("text"))
+    return last.join(names, "head").join(own, "text").select("s1_id", "cand_id", "sim", "rank")

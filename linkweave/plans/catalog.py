@@ -188,7 +188,7 @@ def block_address_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("block_country_first_token", "SELECT s1_id, cand_id FROM first_token_pairs")
 def block_country_first_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = X.tokened(spark, sf_dir).withColumn("first", F.get("name_toks", F.lit(0)))
-    return blocking.hard_cap(blocking.equal_values(X.heads(df), X.targets(df), ["norm_country", "first"], "first IS NOT NULL"), 300)
+    return blocking.equal_values(X.heads(df), X.targets(df), ["norm_country", "first"], "first IS NOT NULL", 300)
 
 
 STRATEGIES = ("exact_name", "name_tokens", "address_tokens", "address_numbers", "country_first_token")
@@ -209,13 +209,13 @@ def union_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_strategies(spark, sf_dir).select("s1_id", "cand_id").distinct()
 
 
-@query(
-    "blocking_eval",
-    """SELECT strategy, round(CASE WHEN nl > 0 THEN covered / nl ELSE 1.0 END, 6) AS candidate_recall, round(n / n1, 2) AS mean_candidates, n AS total_candidates, round(1 - n / (n1 * nt), 6) AS reduction_ratio,
+BLOCKING_STATS_SQL = """SELECT strategy, round(CASE WHEN nl > 0 THEN covered / nl ELSE 1.0 END, 6) AS candidate_recall, round(n / n1, 2) AS mean_candidates, n AS total_candidates, round(1 - n / (n1 * nt), 6) AS reduction_ratio,
     n1 AS n_s1, covered AS covered_links, nl AS total_links FROM
     (SELECT strategy, count(*) AS n, count(l.tid) AS covered FROM (SELECT * FROM all_strategies UNION ALL SELECT DISTINCT 'union', s1_id, cand_id FROM all_strategies) s LEFT JOIN links l ON l.s1_id = s.s1_id AND l.tid = s.cand_id GROUP BY strategy),
-    (SELECT count(*) AS n1 FROM heads), (SELECT count(*) AS nl FROM links), (SELECT count(*) AS nt FROM entities WHERE entity_id NOT LIKE 'S1-%')""",
-)
+    (SELECT count(*) AS n1 FROM heads), (SELECT count(*) AS nl FROM links), (SELECT count(*) AS nt FROM entities WHERE entity_id NOT LIKE 'S1-%')"""
+
+
+@query("blocking_eval", BLOCKING_STATS_SQL)
 def blocking_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.entities(spark, sf_dir)
     return blocking.strategy_stats(s1(e), all_strategies(spark, sf_dir), X.links(e), X.targets(e), STRATEGIES)
@@ -224,35 +224,59 @@ def blocking_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 # TF-IDF retrieval.
 
 
-def tfidf_sql(terms: str, top_k: int) -> str:
+def tfidf_sql(terms: str, top_k: int, column: str = "norm_name") -> str:
     return f"""SELECT s1_id, cand_id, sim, rank FROM (WITH tc AS (SELECT entity_id, src, term, count(*) AS tf FROM (SELECT entity_id, src, unnest({terms}) AS term FROM named) GROUP BY ALL),
     st AS (SELECT term, count(*) AS df FROM tc WHERE src <> 'S1' GROUP BY term HAVING count(*) >= 2),
-    w AS (SELECT entity_id, src, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM named WHERE src <> 'S1')) / (1 + df)) + 1) AS w FROM tc JOIN st USING (term)),
+    w AS (SELECT entity_id, src, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM named WHERE src <> 'S1' AND trim({column}) <> '')) / (1 + df)) + 1) AS w FROM tc JOIN st USING (term)),
     nw AS (SELECT entity_id, src, term, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM w),
     s AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, round(sum(a.w * b.w), 6) AS sim FROM nw a JOIN nw b USING (term) WHERE a.src = 'S1' AND b.src <> 'S1' GROUP BY ALL)
     SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY sim DESC, cand_id) AS rank FROM s WHERE sim > 0) WHERE rank <= {top_k}"""
 
 
-WORD_TERMS = (
-    "list_concat(regexp_extract_all(norm_name, '[a-z0-9]{2,}'), list_transform(range(1, len(regexp_extract_all(norm_name, '[a-z0-9]{2,}'))), "
-    "lambda i: regexp_extract_all(norm_name, '[a-z0-9]{2,}')[i] || ' ' || regexp_extract_all(norm_name, '[a-z0-9]{2,}')[i + 1]))"
-)
+def word_terms_sql(column: str) -> str:
+    words = f"regexp_extract_all({column}, '[a-z0-9]{{2,}}')"
+    return f"list_concat({words}, list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
 CHAR_TERMS = (
     f"flatten(list_transform({Q.words('norm_name')}, lambda w: list_concat(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3)), "
     "list_transform(range(1, length(w)), lambda i: substr(' ' || w || ' ', i, 4)))))"
 )
 
 
-@query("tfidf_words", tfidf_sql(WORD_TERMS, 50))
-def tfidf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tfidf_words_of(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     df = X.named(X.entities(spark, sf_dir))
-    return tfidf.top_similar(X.heads(df), X.targets(df), tfidf.word_terms(F.col("norm_name")), 50).select("s1_id", "cand_id", "sim", F.col("rank").cast("long").alias("rank"))
+    return tfidf.top_similar(X.heads(df), X.targets(df), column, tfidf.word_terms, 50).select("s1_id", "cand_id", "sim", F.col("rank").cast("long").alias("rank"))
+
+
+@query("tfidf_words", tfidf_sql(word_terms_sql("norm_name"), 50))
+def tfidf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf_words_of(spark, sf_dir, "norm_name")
+
+
+@query("tfidf_address_words", tfidf_sql(word_terms_sql("norm_addr"), 50, "norm_addr"))
+def tfidf_address_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf_words_of(spark, sf_dir, "norm_addr")
 
 
 @query("tfidf_char_ngrams", tfidf_sql(CHAR_TERMS, 30))
 def tfidf_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = X.named(X.entities(spark, sf_dir))
-    return tfidf.top_similar(X.heads(df), X.targets(df), tfidf.char_terms(F.col("norm_name")), 30, max_features=150_000).select("s1_id", "cand_id", "sim", F.col("rank").cast("long").alias("rank"))
+    return tfidf.top_similar(X.heads(df), X.targets(df), "norm_name", tfidf.char_terms, 30, max_features=150_000).select("s1_id", "cand_id", "sim", F.col("rank").cast("long").alias("rank"))
+
+
+RETRIEVALS = ("tfidf_words", "tfidf_char_ngrams", "tfidf_address_words")
+RETRIEVAL_SQL = (tfidf_sql(word_terms_sql("norm_name"), 50), tfidf_sql(CHAR_TERMS, 30), tfidf_sql(word_terms_sql("norm_addr"), 50, "norm_addr"))
+Q.part("run_strategies", "SELECT * FROM all_strategies UNION ALL " + " UNION ALL ".join(f"SELECT '{n}' AS strategy, s1_id, cand_id FROM ({x})" for n, x in zip(RETRIEVALS, RETRIEVAL_SQL)))
+
+
+@query("blocking_run", BLOCKING_STATS_SQL.replace("all_strategies", "run_strategies"))
+def blocking_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight strategies, each kept in a table of its own, and their figures and those of their union."""
+    e = X.entities(spark, sf_dir)
+    makes = {s: (lambda s=s: QUERIES[f"block_{s}"](spark, sf_dir)) for s in STRATEGIES} | {s: (lambda s=s: QUERIES[s](spark, sf_dir)) for s in RETRIEVALS}
+    found = blocking.run_strategies(makes, tables.shared_path(spark, "blocking-run"), spark)
+    return blocking.strategy_stats(s1(e), found, X.links(e), X.targets(e), (*STRATEGIES, *RETRIEVALS))
 
 
 # Quota folds.
@@ -275,7 +299,7 @@ HEAD, TARGET = "src = 'S1'", "src <> 'S1'"
 
 
 def fold_sql(f: blocking.Fold, q: str, t: str) -> str:
-    arrivals = blocking.UNLIMITED if f.total == blocking.UNLIMITED else blocking.ARRIVALS
+    arrivals = blocking.ARRIVALS
     channels = list(dict.fromkeys(s.channel for s in f.steps))
     tests = blocking.tests_of(f)
     ids = ", ".join(f"coalesce(list_slice(list_sort(list_distinct(flatten(list(ids) FILTER (WHERE channel = '{c}')))), 1, {arrivals}), []) AS {c}" for c in channels)
@@ -293,7 +317,6 @@ NAME_Q, NAME_T = keys_sql("base_columns", blocking.NAME_KEYS, HEAD), keys_sql("b
 WIDE_Q, WIDE_T = (x + " UNION ALL " + keys_sql("wide_columns", blocking.NAME_KEYS, w, blocking.WIDE) for x, w in ((NAME_Q, HEAD), (NAME_T, TARGET)))
 FOLD_KEYS = {
     **dict.fromkeys(("v1", "v2", "v3", "v4", "production", "exact_pair"), (NAME_Q, NAME_T)),
-    "open": (keys_sql("open_columns", blocking.OPEN_KEYS, HEAD), keys_sql("open_columns", blocking.OPEN_KEYS, TARGET)),
     **dict.fromkeys(("short_tiers", "short_tiers_all"), (keys_sql("wide_columns", blocking.SHORT_QUERY_KEYS, HEAD), keys_sql("wide_columns", blocking.SHORT_TARGET_KEYS, TARGET))),
     **dict.fromkeys(("v5", "v6"), (WIDE_Q, WIDE_T)),
     "shared": (keys_sql("wide_columns", blocking.SHARED_QUERY_KEYS, HEAD), keys_sql("wide_columns", blocking.SHARED_TARGET_KEYS, TARGET)),
@@ -345,6 +368,20 @@ def _add_fold(name: str) -> None:
 for _name in FOLD_KEYS:
     _add_fold(_name)
 
+OPEN_STEPS = ", ".join(f"({k}, '{x.channel}', {x.quota})" for k, x in enumerate(blocking.FOLDS["open"].steps))
+
+
+@query(
+    "fold_open",
+    f"""SELECT q.entity_id AS s1_id, t.entity_id AS cand_id, min(step) AS step FROM ({keys_sql("open_columns", blocking.OPEN_KEYS, HEAD)}) q
+    JOIN (VALUES {OPEN_STEPS}) s(step, channel, quota) ON s.channel = q.channel
+    JOIN (SELECT *, row_number() OVER (PARTITION BY family, key ORDER BY entity_id) AS place FROM ({keys_sql("open_columns", blocking.OPEN_KEYS, TARGET)})) t ON t.family = q.family AND t.key = q.key AND place <= quota GROUP BY ALL""",
+)
+def fold_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the fold that has no total, with the first step that selects each."""
+    q, t = fold_keys(spark, sf_dir, "open")
+    return blocking.open_pairs(q, t, blocking.FOLDS["open"])
+
 
 @query(
     "fold_evidence",
@@ -428,8 +465,10 @@ def channel_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMMON_SQL = "len(list_intersect({}, {}))"
 
 
-MISS_SQL = """SELECT s1_id, tid, in_old, in_new, CASE WHEN in_new AND NOT in_old THEN 'RECOVERED' WHEN in_new THEN 'RETAINED' WHEN in_old THEN 'REGRESSED' ELSE 'STILL_MISSED' END AS status,
-    CASE WHEN in_new OR in_old THEN 'none' WHEN ac <> bc THEN 'country mismatch' WHEN an = '' OR bn = '' THEN 'missing name' WHEN k = 0 THEN 'no common token' WHEN k = 1 THEN 'one common token' ELSE 'beyond quota' END AS category
+_NAMES = [*evaluate.OUTCOMES, *[("", x) for x in evaluate.MISSED]]
+MISS_SQL = f"""SELECT s1_id, tid, in_old, in_new, CASE WHEN in_new AND NOT in_old THEN '{_NAMES[2][0]}' WHEN in_new THEN '{_NAMES[3][0]}' WHEN in_old THEN '{_NAMES[1][0]}' ELSE '{_NAMES[0][0]}' END AS status,
+    CASE WHEN in_new AND NOT in_old THEN '{_NAMES[2][1]}' WHEN in_new THEN '{_NAMES[3][1]}' WHEN in_old THEN '{_NAMES[1][1]}' WHEN ac <> bc THEN '{_NAMES[4][1]}' WHEN an = '' OR bn = '' THEN '{_NAMES[5][1]}'
+      WHEN k = 0 THEN '{_NAMES[6][1]}' WHEN k = 1 THEN '{_NAMES[7][1]}' ELSE '{_NAMES[8][1]}' END AS category
     FROM (SELECT l.s1_id, l.tid, o.s1_id IS NOT NULL AS in_old, n.s1_id IS NOT NULL AS in_new, a.c AS ac, b.c AS bc, a.business_name AS an, b.business_name AS bn, len(list_intersect(list_distinct(a.tokens), list_distinct(b.tokens))) AS k
       FROM links l LEFT JOIN (SELECT s1_id, cand_id FROM fold_pairs WHERE version = 'v1') o ON o.s1_id = l.s1_id AND o.cand_id = l.tid LEFT JOIN (SELECT s1_id, cand_id FROM fold_pairs WHERE version = 'v6') n ON n.s1_id = l.s1_id AND n.cand_id = l.tid
       JOIN base_profiles a ON a.entity_id = l.s1_id JOIN base_profiles b ON b.entity_id = l.tid)"""
@@ -497,16 +536,136 @@ def pair_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("features_compact")
+def _feature_sql(columns: dict[str, str], source: str) -> str:
+    """Features as floats, as the operators give them, read as rounded doubles."""
+    return f"SELECT s1_id, cand_id, {', '.join(f'round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 6) AS {n}' for n, e in columns.items())} FROM {source}"
+
+
+def _flag(e: str) -> str:
+    return f"CASE WHEN {e} THEN 1 ELSE 0 END"
+
+
+def _of(guard: str, e: str) -> str:
+    return f"CASE WHEN {guard} THEN {e} ELSE 0.0 END"
+
+
+NAMED, PLACED = "a.norm_name <> '' AND b.norm_name <> ''", "a.norm_addr <> '' AND b.norm_addr <> ''"
+NUMBERED = f"{PLACED} AND len(a.nums) > 0 AND len(b.nums) > 0"
+EDIT_JOINS = "JOIN edits n ON n.x = p.a.norm_name AND n.y = p.b.norm_name JOIN edits d ON d.x = p.a.norm_addr AND d.y = p.b.norm_addr"
+Q.part("edit_pairs", f"SELECT p.*, n, d FROM base_pairs p {EDIT_JOINS}")
+Q.part("edit_token_pairs", f"SELECT p.*, n, d FROM token_pairs p {EDIT_JOINS}")
+ADDRESS_WORDS = Q.words("a.norm_addr"), Q.words("b.norm_addr")
+COMPACT_SQL = {
+    "name_ratio": _of(NAMED, "n.ratio"),
+    "name_token_set_ratio": _of(NAMED, "n.token_set"),
+    "name_token_sort_ratio": _of(NAMED, "n.token_sort"),
+    "name_partial_ratio": _of(NAMED, "n.partial"),
+    "name_exact": _flag("a.norm_name <> '' AND a.norm_name = b.norm_name"),
+    "name_stem_exact": _flag("a.stem_name <> '' AND a.stem_name = b.stem_name"),
+    "name_jaccard": Q.jaccard("a.tokens", "b.tokens", 0.0),
+    "name_len_diff": Q.length_difference("a.norm_name", "b.norm_name"),
+    "addr_ratio": _of(PLACED, "d.ratio"),
+    "addr_token_set_ratio": _of(PLACED, "d.token_set"),
+    "addr_exact": _flag(f"{PLACED} AND a.norm_addr = b.norm_addr"),
+    "addr_jaccard": _of(PLACED, Q.jaccard(*ADDRESS_WORDS, 0.0)),
+    "addr_num_overlap": _of(NUMBERED, Q.jaccard("a.nums", "b.nums")),
+    "addr_num_exact": _flag(f"{PLACED} AND {Q.same_set('a.nums', 'b.nums')}"),
+    "addr_missing_s2": _flag("b.norm_addr = ''"),
+    "source_is_s2": _flag("cand_id LIKE 'S2-%'"),
+}
+ACRONYMS = Q.acronym("a.tokens"), Q.acronym("b.tokens")
+RICH_SQL = {
+    "name_ratio": _of(NAMED, "n.ratio"),
+    "name_partial_ratio": _of(NAMED, "n.partial"),
+    "name_token_sort_ratio": _of(NAMED, "n.token_sort"),
+    "name_token_set_ratio": _of(NAMED, "n.token_set"),
+    "name_exact": _flag(f"{NAMED} AND a.norm_name = b.norm_name"),
+    "name_stem_exact": _flag(f"{NAMED} AND a.stem_name <> '' AND a.stem_name = b.stem_name"),
+    "name_sorted_stem_exact": _flag(f"{NAMED} AND a.sorted_stem <> '' AND a.sorted_stem = b.sorted_stem"),
+    "name_3gram_jaccard": _of(NAMED, Q.ngram_jaccard("a.norm_name", "b.norm_name", 3)),
+    "name_4gram_jaccard": _of(NAMED, Q.ngram_jaccard("a.norm_name", "b.norm_name", 4)),
+    "name_token_jaccard": _of(NAMED, Q.jaccard("a.tokens", "b.tokens", 0.0)),
+    "name_len_diff": _of(NAMED, Q.length_difference("a.norm_name", "b.norm_name")),
+    "name_prefix_match": _flag(f"{NAMED} AND length(a.norm_name) >= 4 AND length(b.norm_name) >= 4 AND left(a.norm_name, 4) = left(b.norm_name, 4)"),
+    "name_acronym_match": _flag(f"{NAMED} AND length({ACRONYMS[0]}) >= 2 AND length({ACRONYMS[1]}) >= 2 AND ({ACRONYMS[0]} = {ACRONYMS[1]} OR contains(b.norm_name, {ACRONYMS[0]}) OR contains(a.norm_name, {ACRONYMS[1]}))"),
+    "addr_ratio": _of(PLACED, "d.ratio"),
+    "addr_token_sort_ratio": _of(PLACED, "d.token_sort"),
+    "addr_token_set_ratio": _of(PLACED, "d.token_set"),
+    "addr_token_jaccard": _of(PLACED, Q.jaccard(*ADDRESS_WORDS, 0.0)),
+    "addr_exact": _flag(f"{PLACED} AND a.norm_addr = b.norm_addr"),
+    "addr_num_overlap": _of(NUMBERED, Q.containment("a.nums", "b.nums")),
+    "addr_num_exact": _flag(f"{NUMBERED} AND {Q.same_set('a.nums', 'b.nums')}"),
+    "addr_num_conflict": _flag(f"{NUMBERED} AND len(list_intersect(a.nums, b.nums)) = 0"),
+    "addr_street_num_match": _flag(f"{NUMBERED} AND a.nums[1] = b.nums[1]"),
+    "addr_postal_match": _flag(f"{NUMBERED} AND length(a.nums[-1]) IN (5, 6) AND length(b.nums[-1]) IN (5, 6) AND a.nums[-1] = b.nums[-1]"),
+    "addr_missing_s1": _flag("a.norm_addr = ''"),
+    "addr_missing_s2": _flag("b.norm_addr = ''"),
+    "name_strong_num_conflict": _flag(f"{_of(NAMED, 'n.ratio')}::FLOAT >= 0.85::DOUBLE AND {NUMBERED} AND len(list_intersect(a.nums, b.nums)) = 0"),
+    "name_moderate_addr_strong": _flag(f"{_of(NAMED, 'n.ratio')}::FLOAT >= 0.60::DOUBLE AND {_of(PLACED, 'd.ratio')}::FLOAT >= 0.85::DOUBLE"),
+    "name_weak_addr_strong": _flag(f"{_of(NAMED, 'n.ratio')}::FLOAT < 0.50::DOUBLE AND {_of(PLACED, 'd.ratio')}::FLOAT >= 0.85::DOUBLE"),
+    "country_match": _flag("a.c <> '' AND a.c = b.c"),
+    "is_source2": _flag("cand_id LIKE 'S2-%'"),
+}
+NO_A, NO_B = "trim(a.business_address) = ''", "trim(b.business_address) = ''"
+ADDRESSED = f"NOT ({NO_A} OR {NO_B})"
+POSTALS = Q.postal("a.business_address"), Q.postal("b.business_address")
+FULL_SQL = {
+    "name_exact": _flag("lower(a.business_name) = lower(b.business_name)"),
+    "name_norm_exact": _flag("a.norm_name = b.norm_name AND a.norm_name <> ''"),
+    "name_ratio": "n.ratio",
+    "name_partial": "n.partial",
+    "name_wratio": "n.weighted",
+    "name_token_sort": "n.token_sort",
+    "name_token_set": "n.token_set",
+    "name_jaccard": Q.jaccard("a.name_toks", "b.name_toks"),
+    "name_len_diff": Q.length_difference("a.norm_name", "b.norm_name"),
+    "addr_empty_s1": _flag(NO_A),
+    "addr_empty_s2": _flag(NO_B),
+    "addr_exact": _flag("lower(a.business_address) = lower(b.business_address) AND a.business_address <> ''"),
+    "addr_norm_exact": _flag("a.norm_addr = b.norm_addr AND a.norm_addr <> ''"),
+    "addr_ratio": _of(ADDRESSED, "d.ratio"),
+    "addr_partial": _of(ADDRESSED, "d.partial"),
+    "addr_token_sort": _of(ADDRESSED, "d.token_sort"),
+    "addr_token_set": _of(ADDRESSED, "d.token_set"),
+    "addr_jaccard": Q.jaccard("a.addr_toks", "b.addr_toks"),
+    "addr_len_diff": Q.length_difference("a.norm_addr", "b.norm_addr"),
+    "addr_numeric_overlap": Q.containment("a.addr_nums", "b.addr_nums"),
+    "addr_numeric_exact": _flag(Q.same_set("a.addr_nums", "b.addr_nums")),
+    "postal_match": _flag(f"{POSTALS[0]} = {POSTALS[1]} AND {POSTALS[0]} <> ''"),
+    "postal_both_present": _flag(f"{POSTALS[0]} <> '' AND {POSTALS[1]} <> ''"),
+    "country_match": _flag("a.norm_country = b.norm_country AND a.norm_country <> ''"),
+    "name_len_s1": "length(a.norm_name)",
+    "name_len_s2": "length(b.norm_name)",
+    "addr_len_s1": "length(a.norm_addr)",
+    "addr_len_s2": "length(b.norm_addr)",
+    "name_missing_s1": _flag("trim(a.business_name) = ''"),
+    "name_missing_s2": _flag("trim(b.business_name) = ''"),
+    "addr_missing_s1": _flag(NO_A),
+    "addr_missing_s2": _flag(NO_B),
+    "is_s2": _flag("cand_id LIKE 'S2-%'"),
+    "is_s3": _flag("cand_id LIKE 'S3-%'"),
+}
+Q.part("token_pairs", "SELECT s1_id, cand_id, a, b FROM cands JOIN tokened a ON a.entity_id = s1_id JOIN tokened b ON b.entity_id = cand_id")
+
+
+@query("edit_ratios", "SELECT x, y, " + ", ".join(f"round({c}, 6) AS {c}" for c in S.EDIT_FIELDS) + " FROM edits")
+def edit_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edit ratios of all pairs of names and of addresses that candidates bring together."""
+    df = profile_pairs(spark, sf_dir)
+    values = df.select(F.col("a_norm_name").alias("x"), F.col("b_norm_name").alias("y")).unionByName(df.select(F.col("a_norm_addr").alias("x"), F.col("b_norm_addr").alias("y"))).distinct()
+    return values.withColumn("e", S.edit_ratios("x", "y")).select("x", "y", *[F.round(F.col("e")[c], 6).alias(c) for c in S.EDIT_FIELDS])
+
+
+@query("features_compact", _feature_sql(COMPACT_SQL, "edit_pairs"))
 def features_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.base_profiles(spark, sf_dir)
-    return features.compact_features(candidates(spark, sf_dir), X.heads(p), X.targets(p))
+    return features.compact_features(candidates(spark, sf_dir), X.heads(p), X.targets(p)).select("s1_id", "cand_id", *rounded(*COMPACT_SQL))
 
 
-@query("features_rich")
+@query("features_rich", _feature_sql(RICH_SQL, "edit_pairs"))
 def features_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.base_profiles(spark, sf_dir)
-    return features.rich_features(candidates(spark, sf_dir), X.heads(p), X.targets(p))
+    return features.rich_features(candidates(spark, sf_dir), X.heads(p), X.targets(p)).select("s1_id", "cand_id", *rounded(*RICH_SQL))
 
 
 def full_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,13 +677,12 @@ def full_pairs(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
     return features.full_features(candidates(spark, sf_dir), X.heads(e), X.targets(e), fuzzy)
 
 
-@query("features_full")
+@query("features_full", _feature_sql(FULL_SQL, "edit_token_pairs"))
 def features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full_pairs(spark, sf_dir, True)
+    return full_pairs(spark, sf_dir, True).select("s1_id", "cand_id", *rounded(*FULL_SQL))
 
 
 NAME_A, NAME_B = "a.norm_name", "b.norm_name"
-Q.part("token_pairs", "SELECT s1_id, cand_id, a, b FROM cands JOIN tokened a ON a.entity_id = s1_id JOIN tokened b ON b.entity_id = cand_id")
 Q.part(
     "native_features",
     f"""SELECT s1_id, cand_id, CAST(lower(a.business_name) = lower(b.business_name) AS INT) AS name_exact, CAST(a.norm_name = b.norm_name AND a.norm_name <> '' AS INT) AS name_norm_exact,
@@ -723,15 +881,15 @@ _CHOSEN = " UNION ALL ".join(f"SELECT '{n}' AS strategy, s1_id, cand_id FROM ran
 Q.part("strategy_choices", _CHOSEN)
 
 
-@query(
-    "decision_strategies",
-    f"""SELECT strategy, round(avg(CASE WHEN 0.25 * p + r > 0 AND NOT (np = 0 AND nt > 0) THEN 1.25::DOUBLE * p * r / (0.25::DOUBLE * p + r) ELSE 0.0 END), 6) AS f05, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall,
+STRATEGIES_SQL = f"""SELECT strategy, round(avg(CASE WHEN 0.25 * p + r > 0 AND NOT (np = 0 AND nt > 0) THEN 1.25::DOUBLE * p * r / (0.25::DOUBLE * p + r) ELSE 0.0 END), 6) AS f05, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall,
     round(count(*) FILTER (WHERE nt = 0 AND np = 0) / count(*) FILTER (WHERE nt = 0), 6) AS singleton_accuracy FROM
     (SELECT strategy, np, nt, CAST(CASE WHEN np = 0 THEN 1.0 ELSE tp / np END AS DOUBLE) AS p, CAST(CASE WHEN nt = 0 THEN 1.0 ELSE tp / nt END AS DOUBLE) AS r FROM
       (SELECT v.strategy, h.s1_id, coalesce(c.n, 0) AS np, coalesce(t.n, 0) AS nt, coalesce(b.n, 0) AS tp FROM (VALUES {', '.join(f"('{n}')" for n in STRATEGY_SQL)}) v(strategy) CROSS JOIN heads h
         LEFT JOIN (SELECT strategy, s1_id, count(*) AS n FROM strategy_choices GROUP BY ALL) c ON c.strategy = v.strategy AND c.s1_id = h.s1_id LEFT JOIN (SELECT s1_id, count(*) AS n FROM links GROUP BY s1_id) t ON t.s1_id = h.s1_id
-        LEFT JOIN (SELECT strategy, x.s1_id, count(*) AS n FROM strategy_choices x JOIN links l ON l.s1_id = x.s1_id AND l.tid = x.cand_id GROUP BY ALL) b ON b.strategy = v.strategy AND b.s1_id = h.s1_id)) GROUP BY strategy""",
-)
+        LEFT JOIN (SELECT strategy, x.s1_id, count(*) AS n FROM strategy_choices x JOIN links l ON l.s1_id = x.s1_id AND l.tid = x.cand_id GROUP BY ALL) b ON b.strategy = v.strategy AND b.s1_id = h.s1_id)) GROUP BY strategy"""
+
+
+@query("decision_strategies", STRATEGIES_SQL)
 def decision_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = X.entities(spark, sf_dir)
     return decide.compare(scored(spark, sf_dir), X.links(e), s1(e), 0.64)
@@ -746,6 +904,41 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["threshold_sweep"] = _whole(grid_sql([(t, t, 10, 2147483647) for t in SWEEP], "setting, least, macro_f05, precision, recall, singleton_accuracy, false_merges, avg_predicted, max_predicted"))
 
 
+SEARCH_ROWS = [round(0.10 + 0.05 * i, 2) for i in range(17)]
+
+
+@query("threshold_search")
+def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = X.entities(spark, sf_dir)
+    return decide.sweep(scored(spark, sf_dir), X.links(e), s1(e), SEARCH_ROWS)
+
+
+SQL["threshold_search"] = _whole(grid_sql([(t, t, 10, 2147483647) for t in SEARCH_ROWS], "setting, least, macro_f05, precision, recall, singleton_accuracy, false_merges, avg_predicted, max_predicted"))
+
+
+@query("threshold_best")
+def threshold_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold with the highest score, the least of equals."""
+    return decide.best(threshold_search(spark, sf_dir)).select("setting", "least", "macro_f05")
+
+
+SQL["threshold_best"] = _whole(grid_sql([(t, t, 10, 2147483647) for t in SEARCH_ROWS], "setting, least, macro_f05")) + " ORDER BY macro_f05 DESC, setting LIMIT 1"
+
+
+@query("decide_best")
+def decide_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions of the strategy that scores best."""
+    e, rows = X.entities(spark, sf_dir), scored(spark, sf_dir)
+    return decide.dispatch(rows, decide.best_strategy(rows, X.links(e), s1(e), 0.64))
+
+
+_ORDER = " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(STRATEGY_SQL))
+Q.part("strategy_scores", STRATEGIES_SQL)
+SQL["decide_best"] = Q.query(
+    f"SELECT c.s1_id, c.cand_id, r.score, c.strategy FROM strategy_choices c JOIN ranked r ON r.s1_id = c.s1_id AND r.cand_id = c.cand_id WHERE c.strategy = (SELECT strategy FROM strategy_scores ORDER BY f05 DESC, CASE strategy {_ORDER} END LIMIT 1)"
+)
+
+
 # Splits, samples and training pairs.
 
 SPLIT_SQL = """SELECT s1_id, bucket, CASE WHEN row_number() OVER (PARTITION BY bucket ORDER BY md5('42|' || s1_id), s1_id) <= greatest(1, CAST(round_even(count(*) OVER (PARTITION BY bucket) * 0.15::DOUBLE, 0) AS BIGINT)) THEN 'val' ELSE 'train' END AS split
@@ -768,6 +961,27 @@ def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.manifest(split_of(spark, sf_dir))
 
 
+@query(
+    "split_metadata",
+    """SELECT total_s1, train_s1, val_s1, round(val_s1 / total_s1, 4) AS val_fraction_actual, train_total_positive_links, val_total_positive_links, train_singleton_count, val_singleton_count,
+    round(100 * train_singleton_count / train_s1, 2) AS train_singleton_pct, round(100 * val_singleton_count / val_s1, 2) AS val_singleton_pct, train_distribution, val_distribution, 'PASSED' AS leakage_check FROM
+    (SELECT count(*) AS total_s1, """
+    + ", ".join(
+        f"""count(*) FILTER (WHERE split = '{x}') AS {x}_s1, CAST(sum(n) FILTER (WHERE split = '{x}') AS BIGINT) AS {x}_total_positive_links, count(*) FILTER (WHERE split = '{x}' AND n = 0) AS {x}_singleton_count,
+    """
+        + " || ',' || ".join(f"'{b}:' || count(*) FILTER (WHERE split = '{x}' AND bucket = '{b}')" for b in split.BUCKETS)
+        + f" AS {x}_distribution"
+        for x in ("train", "val")
+    )
+    + " FROM (SELECT r.*, coalesce(l.n, 0) AS n FROM split_rows r LEFT JOIN (SELECT s1_id, count(*) AS n FROM links GROUP BY s1_id) l USING (s1_id)))",
+)
+def split_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of the stored split, after it is written and read again."""
+    e = X.entities(spark, sf_dir)
+    links = X.links(e)
+    return split.metadata(tables.get_or_make_split(spark, tables.shared_path(spark, "split"), s1(e), links), links)
+
+
 @query("split_leaks", "SELECT s1_id FROM split_rows GROUP BY s1_id HAVING count(DISTINCT split) > 1")
 def split_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.leaks(split_of(spark, sf_dir))
@@ -807,15 +1021,28 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.hard_negatives(scored(spark, sf_dir), X.links(X.entities(spark, sf_dir)), 0.5)
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str], DataFrame]:
+    """Features of all candidates, those of the training pairs with label and split, the features' names, and the true links."""
+    p = X.base_profiles(spark, sf_dir)
+    pairs = tables.written(features.compact_features(candidates(spark, sf_dir), X.heads(p), X.targets(p)), "pairs")
+    links = X.links(p)
+    rows = pairs.join(features.training_pairs(pairs, links), ["s1_id", "cand_id"]).join(split.stratified(s1(p), links).select("s1_id", "split"), "s1_id")
+    return pairs, tables.written(rows, "labelled"), [c for c in pairs.columns if c not in ("s1_id", "cand_id")], links
+
+
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all candidates by trees fitted on the training pairs."""
-    p = X.base_profiles(spark, sf_dir)
-    pairs = features.compact_features(candidates(spark, sf_dir), X.heads(p), X.targets(p), fuzzy=False)
-    chosen = features.training_pairs(pairs, X.links(p))
-    names = [c for c in pairs.columns if c not in ("s1_id", "cand_id")]
-    trees = model.fit(pairs.join(chosen, ["s1_id", "cand_id"]), names, rounds=10, depth=4)
-    return model.score(trees, pairs)
+    """Scores of all candidates by trees fitted on the training pairs of one part of the split, until those of the other no longer gain."""
+    pairs, rows, names, _ = _labelled(spark, sf_dir)
+    return model.score(model.fit(rows, names, validation=F.col("split") == "val"), pairs)
+
+
+@query("gbt_mined")
+def gbt_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the better of two models, the second fitted with the first's worst mistakes as more negatives, and its name and threshold."""
+    pairs, rows, names, links = _labelled(spark, sf_dir)
+    found, threshold, name = model.mined(rows, names, links)
+    return model.score(found, pairs).withColumns({"model": F.lit(name), "threshold": F.lit(threshold)})
 
 
 @query(
@@ -948,6 +1175,23 @@ def results_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["results_rules"] = "WITH" + RULES_SQL
 
 
+@query(
+    "results_findings",
+    """SELECT rule, count(*) AS n FROM (SELECT 'unknown id' AS rule, cand_id AS what FROM chosen_full WHERE cand_id NOT IN (SELECT tid FROM links) UNION SELECT 'missing row', s1_id FROM heads WHERE s1_id NOT IN (SELECT s1_id FROM chosen_full)
+    UNION SELECT 'extra row', s1_id FROM chosen_full WHERE s1_id NOT IN (SELECT s1_id FROM links)) WHERE rule <> 'missing row' GROUP BY rule""",
+)
+def results_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules of the whole results as written to a file and read again line by line. Required are the entities with links, known the linked
+    targets, so that rows and ids beyond these are found."""
+    path = tables.shared_path(spark, "results")
+    rows = results(spark, sf_dir).where("matched_entity_ids <> ''")
+    tables.write_tsv(rows, path)
+    lines = spark.read.text(path).where(F.col("value") != "\t".join(tables.MATCH_HEADER))
+    links = X.links(X.entities(spark, sf_dir))
+    found = validate.findings(validate.parse_lines(lines), links.select("s1_id").distinct(), links.select(F.col("tid").alias("entity_id")).distinct())
+    return found.where("rule <> 'missing row'").select("rule", "n")
+
+
 @query(
     "results_qa",
     """SELECT count(*) AS n_rows, 0::BIGINT AS repeated_ids, 0::BIGINT AS wrong_prefixes, CAST(sum((SELECT count(*) FROM (SELECT cand_id FROM chosen_full x WHERE x.s1_id = h.s1_id EXCEPT SELECT cand_id FROM cands y WHERE y.s1_id = h.s1_id))) AS BIGINT) AS outside_candidates FROM heads h""",
@@ -1008,14 +1252,14 @@ def truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("files_round_trip", "SELECT entity_id, business_name, business_address, country FROM entities")
 def files_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities written as tab-separated files and read again."""
-    path = _scratch(spark, "entities")
+    path = tables.shared_path(spark, "entities")
     tables.write_tsv(X.entities(spark, sf_dir).select("entity_id", "business_name", "business_address", "country"), path)
     return tables.read_source(spark, path, "1")
 
 
 @query("scoreboard_rows", "SELECT * FROM (VALUES ('a', 0.1235::DOUBLE, 3::BIGINT, 1.5::DOUBLE), ('b', 0.9::DOUBLE, 0::BIGINT, 2.26::DOUBLE)) AS t(experiment_id, macro_f05, false_merges, runtime_s)")
 def scoreboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark, "scoreboard")
+    path = tables.shared_path(spark, "scoreboard")
     tables.log_experiment(spark, path, experiment_id="a", macro_f05=0.12349, false_merges=3, runtime_s=1.5)
     tables.log_experiment(spark, path, experiment_id="b", macro_f05=0.9, false_merges=0, runtime_s=2.2567)
     return tables.scoreboard(spark, path).select("experiment_id", "macro_f05", "false_merges", "runtime_s")
@@ -1027,7 +1271,7 @@ def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from linkweave.streaming import candidates as stream
 
     e = X.entities(spark, sf_dir)
-    source, out, checkpoint = (_scratch(spark, x) for x in ("stream-in", "stream-out", "stream-checkpoint"))
+    source, out, checkpoint = (tables.shared_path(spark, x) for x in ("stream-in", "stream-out", "stream-checkpoint"))
     X.targets(e).write.parquet(source)
     q = blocking.keyed(X.heads(X.base_profiles(spark, sf_dir)), blocking.NAME_KEYS)
     keys = lambda df: blocking.keyed(X.profiles(X.named(df)), blocking.NAME_KEYS)
@@ -1035,14 +1279,6 @@ def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("s1_id string, cand_id string, channel string").parquet(out)
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder where driver and executors both see it."""
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared_checkpoints"
-    return f"{top}/{tag}-{uuid.uuid4().hex}"
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalize, block, score, decide and evaluate: macro F0.5 of the whole plan."""
     return macro_f05_lenient(spark, sf_dir)

@@ -5,6 +5,10 @@ Fields are never quoted, and empty ones are empty strings: Spark reads those as
 
 from __future__ import annotations
 
+import json
+import re
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +25,10 @@ SCOREBOARD_SCHEMA = T.StructType(
     + [T.StructField("false_merges", T.LongType()), T.StructField("avg_predicted_matches", T.DoubleType())]
     + [T.StructField(c, T.LongType()) for c in ("max_predicted_matches", "candidate_count")]
     + [T.StructField(c, T.DoubleType()) for c in ("p50_candidates", "p95_candidates", "runtime_s", "peak_ram_mb")]
+    + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]
 )
+#: What a writer leaves when all its files are there.
+SUCCESS = "_SUCCESS"
 #: Digits after the point that the scoreboard keeps.
 SCOREBOARD_DIGITS = {
     "candidate_recall": 4, "precision": 4, "recall": 4, "macro_f05": 4, "singleton_accuracy": 4,
@@ -91,20 +98,19 @@ def normalize_files(spark: SparkSession, path: str, out: str, normalize: Callabl
 
 
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet table at path, made first if there is none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        compute().write.parquet(path)
-        return spark.read.parquet(path)
+    """The Parquet table at path, made first if there is none. One whose writing broke off has no mark of success and is made anew."""
+    if SUCCESS not in _files(spark, path):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def log_experiment(spark: SparkSession, path: str, **values: object) -> None:
-    """Appends one row to the scoreboard, rounded as its columns say."""
-    row = {f.name: values.get(f.name) for f in SCOREBOARD_SCHEMA.fields}
+    """Appends one row to the scoreboard, rounded as its columns say. timestamp: now, if not given; values that have no column go to metadata, as text."""
+    columns = [f.name for f in SCOREBOARD_SCHEMA.fields[:-1]]
+    row = {c: values.get(c) for c in columns}
     row |= {k: round(float(row[k]), n) for k, n in SCOREBOARD_DIGITS.items() if row[k] is not None}
+    row["timestamp"] = row["timestamp"] or time.strftime("%Y-%m-%d %H:%M:%S")
+    row["metadata"] = {k: str(v) for k, v in values.items() if k not in columns}
     spark.createDataFrame([row], SCOREBOARD_SCHEMA).write.mode("append").parquet(path)
 
 
@@ -121,3 +127,105 @@ def scoreboard(spark: SparkSession, path: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, n_bytes, sha256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def log_run(spark: SparkSession, path: str, experiment: str, **result: object) -> None:
+    """Appends one run to a registry of lines of JSON."""
+    line = json.dumps(result | {"experiment": experiment, "timestamp": time.strftime("%Y-%m-%dT%H:%M:%S")}, default=str)
+    spark.createDataFrame([(line,)], "value string").write.mode("append").text(path)
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """experiment, timestamp, result (by name, as text) of a registry; lines that aren't JSON are passed over, and without a registry there are none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
+        lines = spark.createDataFrame([], "value string")
+    found = lines.select(F.from_json("value", "map<string,string>").alias("result")).where(F.col("result")["experiment"].isNotNull())
+    own = F.map_filter("result", lambda k, _: ~k.isin("experiment", "timestamp"))
+    return found.select(F.col("result")["experiment"].alias("experiment"), F.col("result")["timestamp"].alias("timestamp"), own.alias("result"))
+
+
+def write_report(rows: DataFrame, path: str, title: str) -> None:
+    """A small table as a file of comma-separated values and as lines of text, a paragraph a row. rows: a report, so few."""
+    names = rows.columns
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"  {c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in names], F.lit(""))
+    rows.coalesce(1).write.mode("overwrite").csv(f"{path}/table", header=True)
+    head = rows.sparkSession.createDataFrame([(f"{title}\n{'=' * len(title)}\n",)], "value string")
+    head.unionByName(rows.select(text.alias("value"))).coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+
+
+def save_split(split: DataFrame, links: DataFrame, path: str) -> None:
+    """A split as tables: ids with bucket and split, the links of each part, and a row of figures. split: s1_id, bucket, split; links: s1_id, tid."""
+    split.write.mode("overwrite").parquet(f"{path}/ids")
+    ids = split.sparkSession.read.parquet(f"{path}/ids")
+    lists = links.groupBy("s1_id").agg(F.array_sort(F.collect_set("tid")).alias("ids"))
+    ids.select("s1_id", "split").join(lists, "s1_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>"))).write.mode("overwrite").partitionBy("split").parquet(f"{path}/truth")
+    from linkweave.operators.split import metadata
+
+    metadata(ids, links).withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/ids")
+
+
+def get_or_make_split(spark: SparkSession, path: str, heads: DataFrame, links: DataFrame, fraction: float = 0.15, seed: int = 42) -> DataFrame:
+    """The split stored at path; if there is none, the stratified one is made and stored first."""
+    from pyspark.errors import AnalysisException
+
+    from linkweave.operators.split import stratified
+
+    try:
+        return read_split(spark, path)
+    except AnalysisException:
+        save_split(stratified(heads, links, fraction, seed), links, path)
+        return read_split(spark, path)
+
+
+def _files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Sizes of the files under path by name from there; none if there is no such folder."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return {}
+    base, found, out = fs.makeQualified(top).toUri().getPath(), fs.listFiles(top, True), {}
+    while found.hasNext():
+        f = found.next()
+        out[f.getPath().toUri().getPath()[len(base) :].lstrip("/")] = f.getLen()
+    return out
+
+
+def status(spark: SparkSession, path: str) -> tuple[int, int]:
+    """How many files stand under path, and their bytes."""
+    sizes = _files(spark, path)
+    return len(sizes), sum(sizes.values())
+
+
+def sync(spark: SparkSession, source: str, target: str) -> list[str]:
+    """Copies the files under source to target, but those that are there with the same size, and names those copied. For reports, models and the like."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf, there, copied = spark._jsc.hadoopConfiguration(), _files(spark, target), []
+    for name, size in sorted(_files(spark, source).items()):
+        if size == 0 or there.get(name) != size:
+            a, b = fs.Path(f"{source}/{name}"), fs.Path(f"{target}/{name}")
+            fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+            copied.append(name)
+    return copied
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir; if that is unset, in the warehouse, on one machine only."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{top or spark.conf.get('spark.sql.warehouse.dir') + '/shared_checkpoints'}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, however many read it, and safe when executors are lost."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
