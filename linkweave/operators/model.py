@@ -42,7 +42,8 @@ def fit(labelled: DataFrame, features: list[str], rounds: int = ROUNDS, depth: i
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=RATE, subsamplingRate=0.85, seed=seed)
     if validation is not None:
         rows = rows.withColumn("held", validation)
-        trees = trees.setValidationIndicatorCol("held").setValidationTol(GAIN)
+        trees = trees.setValidationIndicatorCol("held")
+        trees.set(trees.validationTol, GAIN)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(rows)
 
 

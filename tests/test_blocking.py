@@ -83,3 +83,46 @@ def test_equal_values_and_union(spark):
     found = B.equal_values(df.where(F.col("entity_id").startswith("S1")), df.where(~F.col("entity_id").startswith("S1")), ["norm_name"], "norm_name <> ''")
     assert sorted(map(tuple, found.collect())) == [("S1-1", "S2-1"), ("S1-1", "S3-1")]
     assert B.union(found, found).count() == 2
+
+
+def test_first_targets_of_a_hot_key(spark):
+    heads = spark.createDataFrame([(f"S1-{i}", "hot") for i in range(5)] + [("S1-9", "cold")], "entity_id string, k string")
+    targets = spark.createDataFrame([(f"S2-{i:03}", "hot") for i in range(200)] + [("S2-900", "cold"), ("S2-901", "")], "entity_id string, k string")
+    found = B.equal_values(heads, targets, ["k"], "k <> ''", 20)
+    assert sorted(map(tuple, found.collect())) == sorted([(f"S1-{i}", f"S2-{k:03}") for i in range(5) for k in range(20)] + [("S1-9", "S2-900")])
+    # Ranked before the join: no pair beyond the first is ever made.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("row_number")
+
+
+def test_open_folds_as_pairs(spark):
+    rng = random.Random(9)
+    fold = B.FOLDS["open"]
+    channels = [s.channel for s in fold.steps]
+    keys = lambda n, p: [(f"{p}-{i:03}", c, c, f"k{min(3, int(rng.expovariate(0.8)))}") for i in range(n) for c in channels if rng.random() < 0.6]
+    q, t = keys(12, "S1"), keys(260, "S2")
+    schema = "entity_id string, channel string, family string, key string"
+    got = {(r.s1_id, r.cand_id): r.step for r in B.open_pairs(spark.createDataFrame(q, schema), spark.createDataFrame(t, schema), fold).collect()}
+    want = {}
+    for s1, c, _, k in q:
+        step = channels.index(c)
+        ids = sorted(i for i, c2, _, k2 in t if (c2, k2) == (c, k))[: fold.steps[step].quota]
+        for i in ids:
+            want[s1, i] = min(step, want.get((s1, i), 99))
+    assert got == want and len({s for s in want.values()}) == len(channels)
+
+
+def test_tokens_of_too_many_targets_can_be_left_out(spark):
+    heads = spark.createDataFrame([("S1-1", ["hot", "rare"])], "entity_id string, toks array<string>")
+    targets = spark.createDataFrame([(f"S2-{i}", ["hot"]) for i in range(100)] + [("S3-1", ["rare"])], "entity_id string, toks array<string>")
+    assert B.shared_tokens(heads, targets, "toks", 3).count() == 101
+    assert [r.cand_id for r in B.shared_tokens(heads, targets, "toks", 3, most_targets=50).collect()] == ["S3-1"]
+
+
+def test_strategies_are_resumed(spark, tmp_path):
+    made = []
+    make = lambda n: lambda: made.append(n) or spark.createDataFrame([("S1-1", f"S2-{n}"), ("S1-1", f"S2-{n}")], "s1_id string, cand_id string")
+    for names in (["a"], ["a", "b"]):
+        found = B.run_strategies({n: make(n) for n in names}, str(tmp_path), spark)
+        assert sorted(map(tuple, found.select("strategy", "cand_id").collect())) == [(n, f"S2-{n}") for n in names]
+    assert made == ["a", "b"]

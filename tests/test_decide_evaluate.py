@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkweave.operators import decide, evaluate, features, split, validate
 from linkweave.operators import model
@@ -110,6 +111,37 @@ def test_training_pairs(spark):
     assert sum(r.label for r in got) == 2 and sum(r.s1_id == "a" and r.label == 0 for r in got) <= 8 and len(got) <= 12
 
 
+def test_training_pairs_keep_the_least_hashes(spark):
+    import hashlib
+
+    rng = random.Random(8)
+    pairs = [(f"h{i}", f"c{k}") for i in range(60) for k in rng.sample(range(500), 30)]
+    links = [(a, b) for a, b in pairs if rng.random() < 0.03]
+    got = {(r.s1_id, r.cand_id) for r in features.training_pairs(spark.createDataFrame(pairs, "s1_id string, cand_id string"), spark.createDataFrame(links, "s1_id string, tid string"), most=20).where("label = 0").collect()}
+    md5 = lambda *x: hashlib.md5("|".join(x).encode()).hexdigest()
+    own = []
+    for head in {a for a, _ in pairs}:
+        wrong = sorted((md5("42", a, b), b) for a, b in pairs if a == head and (a, b) not in links)
+        own += [(head, b) for _, b in wrong[: min(max(1, 5 * sum(a == head for a, _ in links)), 20)]]
+    want = sorted(own, key=lambda x: (md5("42", x[1], x[0]), *x))[: 5 * len(links)]
+    assert got == set(want) and len(own) > len(want) > 0
+
+
+def test_the_best_strategy_is_dispatched(spark):
+    rng = random.Random(5)
+    rows = [(f"h{i % 9}", f"c{i}", round(rng.random(), 3)) for i in range(80)]
+    scored = spark.createDataFrame(rows, "s1_id string, cand_id string, score double")
+    links = spark.createDataFrame([(a, b) for a, b, s in rows if s > 0.8], "s1_id string, tid string")
+    heads = spark.createDataFrame([(f"h{i}",) for i in range(11)], "s1_id string")
+    compared = {r.strategy: r.f05 for r in decide.compare(scored, links, heads, 0.5).collect()}
+    best = decide.best_strategy(scored, links, heads, 0.5).collect()
+    assert len(best) == 1 and best[0].f05 == max(compared.values()) == compared[best[0].strategy]
+    got = {(r.s1_id, r.cand_id) for r in decide.dispatch(scored, decide.best_strategy(scored, links, heads, 0.5)).collect()}
+    own = {"score gap": lambda: decide.score_gap(scored, 0.5, best[0].gap), "match cap": lambda: decide.match_cap(scored, 0.5, best[0].cap), "singleton gate": lambda: decide.singleton_gate(scored, 0.5, best[0].gate - 0.5), "pure threshold": lambda: decide.threshold(scored, 0.5)}
+    want = next(f() for n, f in own.items() if best[0].strategy.startswith(n))
+    assert got == {(r.s1_id, r.cand_id) for r in want.collect()}
+
+
 def test_trees_part_what_is_apart(spark):
     rng = random.Random(1)
     rows = [("s", f"c{i}", i % 2, (i % 2) * 0.8 + rng.random() * 0.1, rng.random()) for i in range(200)]
@@ -118,8 +150,17 @@ def test_trees_part_what_is_apart(spark):
     assert model.importances(trees, ["x", "y"])[0][0] == "x"
     scores = {r.cand_id: r.score for r in model.score(trees, df).collect()}
     assert all((scores[c] > 0.5) == (y == 1) for _, c, y, _, _ in rows)
-    first, again = model.mined(df, ["x", "y"], spark.createDataFrame([], "s1_id string, tid string"), 0.99, rounds=2)
-    assert first is not again
+    parted = df.withColumn("s1_id", F.concat(F.lit("s"), "cand_id")).withColumn("split", F.when(F.crc32("cand_id") % 4 == 0, "val").otherwise("train"))
+    links = parted.where("label = 1").select("s1_id", F.col("cand_id").alias("tid"))
+    found, least, name = model.mined(parted, ["x", "y"], links, rounds=2)
+    assert name == "v1" and 0.1 <= least <= 0.9 and {r.cand_id for r in model.score(found, df).where(F.col("score") >= least).collect()} == {c for _, c, y, _, _ in rows if y}
+
+
+def test_held_out_rows_end_a_fit(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(f"c{i}", int(rng.random() < 0.5), rng.random()) for i in range(120)], "cand_id string, label int, x double")
+    trees = model.fit(df, ["x"], rounds=40, depth=2, validation=F.crc32("cand_id") % 3 == 0)
+    assert trees.stages[-1].getNumTrees < 40
 
 
 def test_headers():

@@ -23,14 +23,21 @@ def test_common_length(a, b):
     assert S.common_length(a, b) == common_by_table(a, b)
 
 
+def best_window(short, long):
+    windows = [long[max(k, 0) : k + len(short)] for k in range(1 - len(short), len(long))]
+    return max(2 * common_by_table(short, w) / (len(short) + len(w)) for w in windows)
+
+
 @given(st.text("ab c", min_size=1, max_size=8), st.text("ab c", min_size=1, max_size=12))
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=400, deadline=None)
 def test_partial_ratio_is_the_best_window(a, b):
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    windows = [long[max(k, 0) : k + len(short)] for k in range(1 - len(short), len(long))]
-    full = [w for w in windows if len(w) == len(short)]
-    best = max(2 * common_by_table(short, w) / (len(short) + len(w)) for w in windows)
-    assert max(S.ratio(short, w) for w in full) - 1e-12 <= S.partial_ratio(a, b) <= best + 1e-12
+    want = max(best_window(a, b), best_window(b, a)) if len(a) == len(b) else best_window(short, long)
+    assert S.partial_ratio(a, b) == pytest.approx(want, abs=1e-12) and S.partial_ratio(b, a) == S.partial_ratio(a, b)
+
+
+def test_partial_ratio_of_equal_lengths():
+    assert S.partial_ratio("abcd", "bcde") == pytest.approx(6 / 7) and S.partial_ratio("acme llc", "cme llcx") == pytest.approx(14 / 15)
 
 
 def test_edit_ratios():

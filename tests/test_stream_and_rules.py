@@ -34,13 +34,13 @@ def test_cosines_against_plain_python(spark):
     words = ["alpha", "beta", "gamma", "delta", "eps"]
     rows = [(f"S{1 + i % 2}-{i}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))) for i in range(40)]
     df = spark.createDataFrame(rows, "entity_id string, n string")
-    got = {(r.s1_id, r.cand_id): r.sim for r in tfidf.top_similar(df.where("entity_id LIKE 'S1%'"), df.where("entity_id LIKE 'S2%'"), tfidf.word_terms(F.col("n")), 100).collect()}
+    got = {(r.s1_id, r.cand_id): r.sim for r in tfidf.top_similar(df.where("entity_id LIKE 'S1%'"), df.where("entity_id LIKE 'S2%'"), "n", tfidf.word_terms, 100).collect()}
 
     def terms(s):
         w = s.split()
         return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
 
-    targets = [r for r in rows if r[0].startswith("S2")]
+    targets = [r for r in rows if r[0].startswith("S2") and r[1]]
     df_of = {}
     for _, s in targets:
         for t in set(terms(s)):
@@ -61,6 +61,19 @@ def test_cosines_against_plain_python(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
+def test_nearest_targets_of_skewed_texts(spark):
+    """A term in nearly all texts, one text that a third of the targets have, ties: the k nearest are those of comparing all, and few pairs are compared."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    name = lambda: " ".join(["group", *sorted(rng.sample(words, rng.randint(1, 3)))])
+    rows = [(f"S1-{i:03}", name() if i % 4 else "group") for i in range(30)] + [(f"S2-{i:03}", "group" if i % 3 == 0 else name()) for i in range(300)] + [("S2-900", " "), ("S1-900", "")]
+    df = spark.createDataFrame(rows, "entity_id string, n string")
+    heads, targets = (df.where(F.col("entity_id").startswith(s)) for s in ("S1", "S2"))
+    every = tfidf.top_similar(heads, targets, "n", tfidf.word_terms, 1000)
+    few = sorted(map(tuple, tfidf.top_similar(heads, targets, "n", tfidf.word_terms, 7).collect()))
+    assert few == sorted(tuple(r) for r in every.collect() if r.rank <= 7) and len(few) == 30 * 7
+
+
 def test_character_runs_stay_within_words(spark):
     row = spark.createDataFrame([("ab cde",)], "n string").select(tfidf.char_terms(F.col("n")).alias("t")).first()
     assert sorted(row.t) == sorted([" ab", "ab ", " ab ", " cd", "cde", "de ", " cde", "cde "])
