@@ -6,7 +6,9 @@ by how well a bit parts the languages; the nearest codeword wins, and a near sec
 
 Learning rows: those with a language whose crc32 of the id, as text, leaves another remainder than 2 by 4. Only text and lang are learned.
 Null texts and texts without a letter get `und` and score 0; so does every text if there is nothing to learn from. Ties between codewords
-go to the first language by name. Repeated rows count as often as they occur. Other columns of the input are ignored.
+go to the first language by name. Repeated rows count as often as they occur, a row without an id is neither learned from nor held out; each
+row is judged by its own text. Very long texts are counted whole, in pieces of a megabyte. An empty table gives an empty table. Other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         found = [model.predict(t) for t in b.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *[pa.array([x[k] for x in found], type=schema[2 + k].type) for k in range(3)]], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long"), (F.pmod(id_hash(F.col("doc_id")), F.lit(FOLDS)) == HELD_OUT).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.pmod(id_hash(F.col("doc_id")), F.lit(FOLDS)) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
     return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 

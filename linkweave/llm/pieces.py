@@ -5,8 +5,9 @@ word not seen before gives up its best-scored pair, the leftmost among equals, u
 in numpy, and long ones by a heap each. In every Arrow batch the new words, and one whole text, are checked against the sentencepiece
 library, whose ids stand if they differ; as no piece reaches across words, texts of checked words are checked.
 
-Null and empty texts have the begin and end ids only. Repeated rows encode alike; an empty table gives an empty table; other columns of the
-input are ignored. Ties of score go to the leftmost pair.
+Null and empty texts have the begin and end ids only. Repeated rows encode alike, rows that share an id each by its text; an empty table gives an empty
+table; other columns of the input are ignored, whatever their names. Ties of score go to the leftmost pair. Very long texts are encoded whole: a long
+word has a heap, whose time grows with its length a little faster than in proportion.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ near copies in that sample one is learned from, else the words of a much copied
 
 Scoring reads whole texts. Long stretches of tokens without features are crossed by powers of one matrix, so forward and backward sums are
 exact. The score is a logistic of the greatest marginal and the sum of those of tagged tokens, fitted on the same sample. Null and empty texts and those without such
-tokens get the score of no evidence. Without labels of both kinds every score is 0. Repeated rows score alike; an empty table gives
-an empty table; other columns are ignored.
+tokens get the score of no evidence. Without labels of both kinds every score is 0. Repeated rows score alike, rows that share an id each by its text
+(learning takes one of them), rows without an id too, which are not held out. A score of exactly 0.5 counts as toxic; features whose lead is equal go by their letters. Very long texts are
+scored whole, in time that grows with their tokens. An empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -287,4 +288,4 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     field = fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return score(docs, field).select("doc_id", (F.pmod(id_hash(F.col("doc_id")), F.lit(FOLDS)) == HELD_OUT).alias("held_out"), "score", "predicted", "spans")
+    return score(docs, field).select("doc_id", F.coalesce(F.pmod(id_hash(F.col("doc_id")), F.lit(FOLDS)) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted", "spans")

@@ -165,3 +165,11 @@ def test_languages_against_the_definition(frame):
     want = brute_languages([(langs[i], texts[i]) for i in range(60) if crc_of_id(i) % 4 != 2], texts)
     for i, (name, score, ambiguous) in enumerate(want):
         assert (got[i].lang_pred, got[i].ambiguous) == (name, ambiguous) and got[i].score == pytest.approx(score, abs=1e-6), texts[i]
+
+
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "the house and the river", "en"), (1, "der Fluss und das Haus", "de"), (1, "the river", "en")], "doc_id long, text string, lang string")
+    found = language.identify(docs, language.fit(docs)).collect()
+    assert len(found) == 3 and all(r.held_out in (True, False) for r in found)
+    labels = spark.createDataFrame([(1, 1), (None, 0), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 3
