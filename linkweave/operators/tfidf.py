@@ -4,9 +4,10 @@ Weights: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length 1, fitted
 min_df of them are dropped, and of more terms than max_features the most frequent stay.
 
 Equal texts are compared once. A query text's nearest targets are found in three steps, so that frequent terms don't bring all who share them together:
-the targets with the greatest weights of each of its terms give a bound that the k-th best similarity can't be under; only targets that could
-reach the bound by a term, given the most that all its later ones can add, become candidates; and those are compared in full. No target that belongs
-among the k nearest is left out.
+the targets with the greatest weights of each of its terms give a bound that the k-th best similarity can't be under; a text's most frequent terms are
+closed, as long as all of them together can't add half of the bound, and sums are made over the other terms, without targets that can't reach the bound
+given what a term adds for them; and where a sum and the most that the closed terms can add reach the bound, what they do add is looked up. No
+target that belongs among the k nearest is left out.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ def counts(texts: DataFrame, terms: Column) -> DataFrame:
 
 #: What rounding may take from a similarity.
 SLACK = 2e-6
+#: Share of the bound that the closed terms stay under.
+CLOSED = 0.5
 
 
 def top_similar(heads: DataFrame, targets: DataFrame, column: str, terms_of: Callable[[Column], Column], top_k: int, min_df: int = 2, max_features: int = 200_000) -> DataFrame:
@@ -65,32 +68,33 @@ def top_similar(heads: DataFrame, targets: DataFrame, column: str, terms_of: Cal
     stats = of_targets.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.col("tf") * F.col("n")).alias("total")).where(F.col("df") >= min_df)
     kept = stats.orderBy(F.desc("total"), "term").limit(max_features)
     n = target_texts.agg(F.sum("n").alias("n_rows"))
-    idf = kept.join(F.broadcast(n), how="cross").select("term", (F.log((1 + F.col("n_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = kept.join(F.broadcast(n), how="cross").select("term", "df", (F.log((1 + F.col("n_rows")) / (1 + F.col("df"))) + 1).alias("idf"))
 
     def weighted(tf: DataFrame, key: str, name: str) -> DataFrame:
         raw = tf.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
-        return raw.select(F.col("key").alias(key), "term", (F.col("w") / norm).alias(name))
+        return raw.select(F.col("key").alias(key), "term", "df", (F.col("w") / norm).alias(name))
 
     # Both are read several times below.
-    a, b = written(weighted(counts(head_texts, terms), "head", "a"), "tfidf"), written(weighted(of_targets, "target", "b"), "tfidf")
+    a, b = written(weighted(counts(head_texts, terms), "head", "a"), "tfidf"), written(weighted(of_targets, "target", "b").drop("df"), "tfidf")
     best_first = Window.partitionBy("term").orderBy(F.desc("b"), "target")
     champions = b.withColumn("at", F.row_number().over(best_first)).where(F.col("at") <= top_k).drop("at")
     most = champions.groupBy("term").agg(F.max("b").alias("most"))
     part = a.join(champions, "term").groupBy("head", "target").agg(F.sum(F.col("a") * F.col("b")).alias("part"))
     ranked = part.withColumn("at", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("part"))))
     bound = ranked.where(F.col("at") == top_k).select("head", F.col("part").alias("bound"))
-    # add: the most that a term can add; rest: the most that it and those of less can.
-    can = a.join(most, "term").withColumn("add", F.col("a") * F.col("most"))
-    can = can.withColumn("rest", F.sum("add").over(Window.partitionBy("head").orderBy("add", "term")))
-    can = can.withColumn("others", F.sum("add").over(Window.partitionBy("head")) - F.col("add")).join(bound, "head", "left")
-    least = F.coalesce("bound", F.lit(0.0)) - SLACK
-    open_terms = can.where(F.col("rest") >= least).select("head", "term", "a", ((least - F.col("others")) / F.col("a")).alias("least_b"))
-    found = open_terms.join(b, "term").where(F.col("b") >= F.col("least_b")).select("head", "target").distinct()
-    vector = lambda df, key, w: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", w))).alias(w))
-    both = found.join(vector(a, "head", "a"), "head").join(vector(b, "target", "b"), "target")
-    product = F.aggregate(F.map_entries("a"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("b", x["key"]), F.lit(0.0)))
-    sims = both.select("head", "target", F.round(product, 6).alias("sim")).where("sim > 0")
+    # add: the most that a term can add; upto: the most that it and all more frequent ones can.
+    can = a.join(most, "term").withColumn("add", F.col("a") * F.col("most")).join(bound, "head", "left")
+    can = can.withColumns({"least": F.coalesce("bound", F.lit(0.0)) - SLACK, "upto": F.sum("add").over(Window.partitionBy("head").orderBy(F.desc("df"), "term")), "all": F.sum("add").over(Window.partitionBy("head"))})
+    is_open = F.col("upto") >= CLOSED * F.col("least")
+    least_b = (F.col("least") - F.col("all") + F.col("add")) / F.col("a")
+    found = can.where(is_open).select("head", "term", "a", least_b.alias("least_b")).join(b, "term").where(F.col("b") >= F.col("least_b"))
+    found = found.groupBy("head", "target").agg(F.sum(F.col("a") * F.col("b")).alias("part"))
+    closed = can.where(~is_open).select("head", "term", "a", "add")
+    limits = can.groupBy("head").agg(F.max("least").alias("least"), F.sum(F.when(is_open, 0.0).otherwise(F.col("add"))).alias("closed"))
+    near = found.join(limits, "head").where(F.col("part") + F.col("closed") >= F.col("least")).select("head", "target", "part")
+    parts = near.unionByName(near.join(closed, "head").join(b, ["target", "term"]).select("head", "target", (F.col("a") * F.col("b")).alias("part")))
+    sims = parts.groupBy("head", "target").agg(F.round(F.sum("part"), 6).alias("sim")).where("sim > 0")
     # The first k ids lie in the first k texts by similarity and least id, since each text before has an id before.
     nearest = sims.withColumn("at", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("sim"), "target"))).where(F.col("at") <= top_k)
     with_ids = nearest.join(target_texts.select(F.col("key").alias("target"), "ids"), "target").select("head", "sim", F.explode("ids").alias("cand_id"))
