@@ -7,6 +7,7 @@ higher-order expression a query row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -255,34 +256,30 @@ FOLDS: dict[str, Fold] = {
 }
 
 
-def key_columns(profiles: DataFrame) -> DataFrame:
-    """The columns that keys are made of: first tokens, sorted tokens, numbers, and how many there are."""
-    at = lambda c, k: F.get(F.col(c), F.lit(k))
-    postal = F.when(F.length(F.try_element_at("nums", F.lit(-1))).isin(5, 6), F.try_element_at("nums", F.lit(-1)))
-    return profiles.withColumns(
-        {
-            "t0": at("tokens", 0),
-            "t1": at("tokens", 1),
-            "s0": at("sorted_tokens", 0),
-            "s1": at("sorted_tokens", 1),
-            "s2": at("sorted_tokens", 2),
-            "n0": at("nums", 0),
-            "nt": F.size("tokens"),
-            "nn": F.size("nums"),
-            "cu": F.upper(F.trim("country")),
-            "w0": F.get(F.split("norm_name", " "), F.lit(0)),
-            "bare_stem": F.array_join("tokens", " "),
-            "street_num": F.coalesce(at("nums", 0), F.lit("")),
-            "postal": F.coalesce(postal, F.lit("")),
-        }
-    )
+#: The columns that keys are made of: first tokens, sorted tokens, numbers, and how many there are. Expressions are text here, as each call to the JVM costs.
+KEY_COLUMNS = {
+    "t0": "get(tokens, 0)",
+    "t1": "get(tokens, 1)",
+    "s0": "get(sorted_tokens, 0)",
+    "s1": "get(sorted_tokens, 1)",
+    "s2": "get(sorted_tokens, 2)",
+    "n0": "get(nums, 0)",
+    "nt": "size(tokens)",
+    "nn": "size(nums)",
+    "cu": "upper(trim(country))",
+    "w0": "get(split(norm_name, ' '), 0)",
+    "bare_stem": "array_join(tokens, ' ')",
+    "street_num": "coalesce(get(nums, 0), '')",
+    "postal": "CASE WHEN length(try_element_at(nums, -1)) IN (5, 6) THEN try_element_at(nums, -1) ELSE '' END",
+}
 
 
 def keyed(profiles: DataFrame, keys: tuple[Key, ...], prefix: str = "") -> DataFrame:
     """entity_id, channel, family, key: a row for each key that an entity has."""
-    one = lambda k: F.when(F.expr(k.guard), F.struct(F.lit(prefix + k.channel).alias("channel"), F.lit(prefix + k.looks_up).alias("family"), F.concat_ws(SEPARATOR, *k.columns).alias("key")))
-    rows = key_columns(profiles).select("entity_id", F.explode(F.array(*map(one, keys))).alias("k"))
-    return rows.where("k IS NOT NULL").select("entity_id", "k.channel", "k.family", "k.key")
+    one = lambda k: f"CASE WHEN {k.guard} THEN named_struct('channel', '{prefix}{k.channel}', 'family', '{prefix}{k.looks_up}', 'key', concat_ws('{SEPARATOR}', {', '.join(k.columns)})) END"
+    used = {n: e for n, e in KEY_COLUMNS.items() if any(re.search(rf"\b{n}\b", " ".join((*k.columns, k.guard))) for k in keys)}
+    rows = profiles.selectExpr("*", *[f"{e} AS {n}" for n, e in used.items()]).selectExpr("entity_id", f"explode(array({', '.join(map(one, keys))})) AS k")
+    return rows.selectExpr("entity_id", "k.channel", "k.family", "k.key").where("channel IS NOT NULL")
 
 
 def postings(target_keys: DataFrame, arrivals: int = ARRIVALS) -> DataFrame:
@@ -296,22 +293,21 @@ def postings(target_keys: DataFrame, arrivals: int = ARRIVALS) -> DataFrame:
 def hits(query_keys: DataFrame, lists: DataFrame, channels: list[str], tests: list[str], arrivals: int = ARRIVALS) -> DataFrame:
     """A row for each query entity: for each channel its ids in order, and the target count of each test channel."""
     found = query_keys.withColumnRenamed("entity_id", "s1_id").join(lists, ["family", "key"])
-    ids = lambda c: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("channel") == c, F.col("ids")))))), 1, arrivals).alias(c)
-    counts = [F.coalesce(F.max(F.when(F.col("channel") == t, F.col("n"))), F.lit(0)).alias(f"n_{t}") for t in tests]
+    ids = lambda c: F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(CASE WHEN channel = '{c}' THEN ids END)))), 1, {arrivals}) AS {c}")
+    counts = [F.expr(f"coalesce(max(CASE WHEN channel = '{t}' THEN n END), 0) AS n_{t}") for t in tests]
     return found.groupBy("s1_id").agg(*map(ids, channels), *counts)
 
 
 def fold(f: Fold) -> Column:
     """The candidates in order of selection, from the columns that hits() makes."""
 
-    def step(s: Step) -> Column:
+    def step(s: Step) -> str:
         test = f"n_{s.test or f.test_channel}"
-        on = F.lit(True) if s.frequent is None else (F.col(test) > f.bound if s.frequent else F.col(test) <= f.bound)
-        ids = F.slice(s.channel, 1, s.quota) if s.head else F.col(s.channel)
-        return F.struct(ids.alias("ids"), F.lit(s.quota).alias("quota"), F.lit(s.below).alias("below"), on.alias("on"))
+        on = "true" if s.frequent is None else f"{test} {'>' if s.frequent else '<='} {f.bound}"
+        return f"struct({f'slice({s.channel}, 1, {s.quota})' if s.head else s.channel} AS ids, {s.quota} AS quota, {s.below} AS below, {on} AS on)"
 
-    take = lambda acc, x: F.when(x["on"] & (F.size(acc) < x["below"]), F.concat(acc, F.slice(F.array_except(x["ids"], acc), F.lit(1), x["quota"]))).otherwise(acc)
-    return F.aggregate(F.array(*map(step, f.steps)), F.array().cast("array<string>"), take, lambda acc: F.slice(acc, 1, f.total))
+    take = "CASE WHEN x.on AND size(acc) < x.below THEN concat(acc, slice(array_except(x.ids, acc), 1, x.quota)) ELSE acc END"
+    return F.expr(f"aggregate(array({', '.join(map(step, f.steps))}), CAST(array() AS array<string>), (acc, x) -> {take}, acc -> slice(acc, 1, {f.total}))")
 
 
 def tests_of(f: Fold) -> list[str]:

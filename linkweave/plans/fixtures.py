@@ -7,6 +7,8 @@ from whole texts, is kept in memory or on executors' disks until the cache is cl
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +16,28 @@ from pyspark.sql import functions as F
 from linkweave.functions import text as T
 
 
+#: Entities of a folder by session: their plan is made and their files are listed once.
+_entities: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary()
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _entities.setdefault(spark, {})
+    if sf_dir not in made:
+        made[sf_dir] = derived(spark, sf_dir)
+    return made[sf_dir].persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     cut = docs.select("doc_id", "lang", F.regexp_extract_all(T.ascii_lower(T.blank_if_null(F.col("text"))), F.lit("[a-z0-9]+"), 0).alias("k"))
     part = lambda start, n: F.array_join(F.slice("k", start, n), " ")
-    rows = cut.select(
+    return cut.select(
         F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
         part(1, 6).alias("business_name"),
         part(7, 8).alias("business_address"),
         F.when(F.col("lang") == "en", "USA").otherwise(F.coalesce("lang", F.lit(""))).alias("country"),
         F.when(F.size("k") >= 12, part(5, 8)).otherwise("").alias("link_key"),
     )
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def named(df: DataFrame, unicode: bool = False) -> DataFrame:
