@@ -7,8 +7,9 @@ Huffman file: it accumulates all scans into coefficient arrays. Scans whose Huff
 and are read and written in numpy; others bit by bit. Coefficients are inverse-transformed by one matrix product of whole numbers,
 chroma is repeated to full resolution, and the tensor is height x width x 3 of unsigned bytes.
 
-Null and empty texts give a payload of one unit of filling. Equal texts give equal values; an empty table gives an empty table; repeated
-rows give equal rows; other columns are ignored.
+Null and empty texts give a payload of one unit of filling. Equal texts give equal values, so repeated rows give equal rows and ties can't arise; rows
+that share an id, or have none, are stored each by its text. A very long text is one file, whose pixels take some 20 bytes of memory a byte of text while it is
+read; a picture's sides are under 65536 up to some 6 GB. An empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,15 +60,45 @@ def layout(n_blocks: int) -> tuple[int, int]:
     return -(-units // columns), columns
 
 
-def stuff(a: np.ndarray) -> bytes:
+def stuff(coded: bytes) -> bytes:
     """Entropy-coded bytes with a zero after each 255."""
-    full = np.nonzero(a == 255)[0]
-    return (np.insert(a, full + 1, 0) if len(full) else a).tobytes()
+    return coded.replace(b"\xff", b"\xff\x00")
 
 
-def unstuff(a: np.ndarray) -> np.ndarray:
-    after = np.nonzero((a[:-1] == 255) & (a[1:] == 0))[0] + 1 if len(a) else a[:0].astype(int)
-    return np.delete(a, after) if len(after) else a
+def unstuff(coded: np.ndarray) -> np.ndarray:
+    return np.frombuffer(coded.tobytes().replace(b"\xff\x00", b"\xff"), dtype=np.uint8)
+
+
+#: Eight codes of 9 bits take nine bytes: how far the k-th value's bits are shifted in the k-th byte and the next.
+SHIFTS = np.arange(8, dtype=np.uint16)
+
+
+def nine_bits(values: np.ndarray) -> bytes:
+    """For each byte the bit 0 and its 8 bits, filled up with ones."""
+    n = values.size
+    wide = np.full((-(-n // 8), 8), 255, dtype=np.uint16)
+    wide.reshape(-1)[:n] = values.reshape(-1)
+    out = np.zeros((len(wide), 9), dtype=np.uint8)
+    out[:, :8] = wide >> (SHIFTS + 1)
+    out[:, 1:] |= (wide << (7 - SHIFTS) & 255).astype(np.uint8)
+    size = -(-9 * n // 8)
+    flat = bytearray(out.tobytes()[:size])
+    flat[-1] |= (1 << 8 * size - 9 * n) - 1
+    return bytes(flat)
+
+
+def from_nine_bits(coded: np.ndarray, n: int) -> np.ndarray | None:
+    """The n values that nine_bits() wrote, or None if a code isn't the bit 0."""
+    if len(coded) < -(-9 * n // 8):
+        return None
+    groups = -(-n // 8)
+    wide = np.zeros(9 * groups, dtype=np.uint16)
+    wide[: min(len(coded), 9 * groups)] = coded[: 9 * groups]
+    wide = wide.reshape(groups, 9)
+    # The last group's places past n hold fill or nothing.
+    if (wide[:, :8] >> (7 - SHIFTS) & 1).reshape(-1)[:n].any():
+        return None
+    return ((wide[:, :8] << (SHIFTS + 1) | wide[:, 1:] >> (7 - SHIFTS)) & 255).reshape(-1)[:n]
 
 
 def segment(marker: int, body: bytes) -> bytes:
@@ -112,20 +143,17 @@ def encode(payload: bytes) -> bytes:
         parts += [scan(c, 0, 0, 0, 1), (np.insert(flat, at + 1, 0) if len(at) else flat).tobytes()]
     parts.append(segment(0xDD, struct.pack(">H", 0)))
     for c, b in of:
-        parts += [scan(c, 0, 0, 1, 0), stuff(filled(b[:, 0] & 1))]
+        parts += [scan(c, 0, 0, 1, 0), stuff(filled(b[:, 0] & 1).tobytes())]
     parts.append(huffman(1, 0x08))
     for c, b in of:
         for first, last in ((1, 5), (6, 63)):
-            halves = 128 | (b[:, first : last + 1] >> 1)
-            bits = np.zeros((halves.size, 9), dtype=np.uint8)
-            bits[:, 1:] = np.unpackbits(np.ascontiguousarray(halves).reshape(-1, 1), axis=1)
-            parts += [scan(c, first, last, 0, 1), stuff(filled(bits.reshape(-1)))]
+            parts += [scan(c, first, last, 0, 1), stuff(nine_bits(128 | (b[:, first : last + 1] >> 1)))]
     # Refinement: an end-of-block code, the bit 0, then a correction bit for each of 63 coefficients.
     parts.append(huffman(1, 0x00))
     for c, b in of:
         bits = b & 1
         bits[:, 0] = 0
-        parts += [scan(c, 1, 63, 1, 0), stuff(filled(bits.reshape(-1)))]
+        parts += [scan(c, 1, 63, 1, 0), stuff(filled(bits.reshape(-1)).tobytes())]
     return b"".join([*parts, b"\xff\xd9"])
 
 
@@ -210,9 +238,10 @@ class Image:
         first, last, high, low = body[1 + 2 * n], body[2 + 2 * n], body[3 + 2 * n] >> 4, body[3 + 2 * n] & 15
         if n == 1:
             c, dc, ac = parts[0]
+            whole = (c.own_rows, c.own_columns) == (c.rows, c.columns)
             grid = np.arange(c.rows * c.columns).reshape(c.rows, c.columns)[: c.own_rows, : c.own_columns].reshape(-1)
             only = self.tables.get((1, ac) if first else (0, dc), {})
-            if self.fixed(c, grid, only, coded, first, last, high, low):
+            if self.fixed(c, slice(None) if whole else grid, len(grid), only, coded, first, last, high, low):
                 return
             units = [[(c, int(b), dc, ac)] for b in grid]
         else:
@@ -223,10 +252,10 @@ class Image:
             ]
         self.bitwise(units, coded, first, last, high, low)
 
-    def fixed(self, c: Component, grid: np.ndarray, only: dict[tuple[int, int], int], coded: np.ndarray, first: int, last: int, high: int, low: int) -> bool:
+    def fixed(self, c: Component, grid: np.ndarray | slice, n: int, only: dict[tuple[int, int], int], coded: np.ndarray, first: int, last: int, high: int, low: int) -> bool:
         """Reads scans whose every code is the bit 0 of a table of one symbol. False if this is none."""
         symbol = next(iter(only.values())) if len(only) == 1 and (1, 0) in only else None
-        width, n = last - first + 1, len(grid)
+        width = last - first + 1
         if first == 0 and high and not self.restart:
             bits = np.unpackbits(unstuff(coded))[:n].astype(np.int32)
             c.blocks[grid, 0] += bits << low
@@ -238,7 +267,17 @@ class Image:
             if len(clean) != n * (step + 2) - 2:
                 return False
             rows = np.concatenate([clean, [255, 0xD0]]).reshape(n, step + 2)[:, :step].astype(np.uint8)
-            c.blocks[grid, 0] = self.signed(np.unpackbits(rows, axis=1)[:, 1 : 1 + symbol], symbol) << low
+            if symbol == 8:
+                value = ((rows[:, 0].astype(np.int32) << 1) | (rows[:, 1] >> 7)) & 255
+                c.blocks[grid, 0] = np.where(value >= 128, value, value - 255) << low
+            else:
+                c.blocks[grid, 0] = self.signed(np.unpackbits(rows, axis=1)[:, 1 : 1 + symbol], symbol) << low
+        elif first and not high and not self.restart and symbol == 8:
+            value = from_nine_bits(unstuff(coded), n * width)
+            if value is None:
+                return False
+            value = value.astype(np.int32)
+            c.blocks[grid, first : last + 1] = (np.where(value >= 128, value, value - 255) << low).reshape(n, width)
         elif first and not high and not self.restart and 0 < symbol <= 15:
             size = 1 + symbol
             bits = np.unpackbits(unstuff(coded))[: n * width * size].reshape(-1, size)
@@ -256,10 +295,7 @@ class Image:
     @staticmethod
     def signed(bits: np.ndarray, size: int) -> np.ndarray:
         """Values of this category from their bits: those that begin with 0 are negative."""
-        if size == 8:
-            value = np.packbits(np.ascontiguousarray(bits), axis=1)[:, 0].astype(np.int32)
-        else:
-            value = bits.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
+        value = bits.astype(np.int32) @ (1 << np.arange(size - 1, -1, -1, dtype=np.int32))
         return np.where(bits[:, 0] == 1, value, value - (1 << size) + 1)
 
     def bitwise(self, units: list, coded: np.ndarray, first: int, last: int, high: int, low: int) -> None:
@@ -364,21 +400,27 @@ class Image:
         """The picture at full resolution, height x width x 3."""
         planes = []
         for c in self.components.values():
-            pixels = np.empty((len(c.blocks), 64), dtype=np.int32)
+            pixels = np.empty((len(c.blocks), 64), dtype=np.uint8)
             for k in range(0, len(c.blocks), 16384):
+                # Whole numbers below 2 ** 53 over 2 ** 13, so exact; then rounded, halves up.
                 sums = (c.blocks[k : k + 16384] * self.quant[c.table]).astype(np.float64) @ INVERSE
-                pixels[k : k + 16384] = (sums.astype(np.int64) + (1 << 12) >> 13) + 128
-            plane = np.clip(pixels, 0, 255).reshape(c.rows, c.columns, 8, 8).transpose(0, 2, 1, 3).reshape(8 * c.rows, 8 * c.columns)
+                sums *= 2.0**-13
+                sums += 128.5
+                np.floor(sums, out=sums)
+                np.clip(sums, 0, 255, out=sums)
+                pixels[k : k + 16384] = sums
+            plane = pixels.reshape(c.rows, c.columns, 8, 8).transpose(0, 2, 1, 3).reshape(8 * c.rows, 8 * c.columns)
             plane = plane.repeat(self.v // c.v, axis=0) if self.v > c.v else plane
             planes.append((plane.repeat(self.h // c.h, axis=1) if self.h > c.h else plane)[: self.height, : self.width])
         if len(planes) == 1:
             return np.repeat(planes[0][:, :, None], 3, axis=2).astype(np.uint8)
-        y, blue, red = planes[0] << 16, planes[1] - 128, planes[2] - 128
+        y, blue, red = ((p.astype(np.int32) - less) for p, less in zip(planes, (0, 128, 128)))
+        y = (y << 16) + (1 << 15)
         # 1.402, 0.344136, 0.714136 and 1.772 over 2 ** 16.
         out = np.empty((*planes[0].shape, 3), dtype=np.uint8)
-        half = 1 << 15
         for k, plane in enumerate((y + 91881 * red, y - 22554 * blue - 46802 * red, y + 116130 * blue)):
-            out[:, :, k] = np.clip((plane + half) >> 16, 0, 255)
+            plane >>= 16
+            out[:, :, k] = np.clip(plane, 0, 255, out=plane)
         return out
 
 
