@@ -24,7 +24,8 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _entities.setdefault(spark, {})
     if sf_dir not in made:
         made[sf_dir] = derived(spark, sf_dir)
-    return made[sf_dir].persist(StorageLevel.MEMORY_AND_DISK)
+    rows = made[sf_dir]
+    return rows if rows.storageLevel.useMemory else rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
