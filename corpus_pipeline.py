@@ -28,7 +28,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from all but the first document; n_chars follows the text. Null texts stay null; equal rows are treated alike."""
-    cut = lines.dedup_lines(docs.select(packed(docs, "document"), "doc_id", "text"))
+    cut = lines.dedup_lines(docs.select(packed(docs.drop("text"), "document"), "doc_id", "text"))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
     return cut.select(*[own.get(c, F.col("document")[c].alias(c)) for c in docs.columns])
 
