@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import join_values, let, materialize, packed, space_words, table
+from linkweave.llm.common import join_values, let, materialize, packed, table
 
 WINDOW = 3
 #: Words of a line that is a window by itself.
@@ -35,8 +35,8 @@ def counted(lines: Column) -> Column:
 def windows(text: Column, width: int = WINDOW, long: int = LONG) -> Column:
     """An array of (at, n, a, b): the place of a window among the lines that count, how many it has, and two hashes of them."""
     lines = F.filter(split_lines(text), lambda x: x.rlike("[^ \\t-\\r]"))
-    # Words and the spaces between them take at least so many characters; only such lines are parted into words.
-    is_long = lambda x: (F.length(x) >= 2 * long - 1) & (F.size(space_words(x)) >= long)
+    # Read no further than the word that decides.
+    is_long = lambda x: x.rlike(rf"^[ \t-\r]*+(?:[^ \t-\r]++[ \t-\r]++){{{long - 1}}}[^ \t-\r]")
     hashes = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), is_long(x).alias("long")))
 
     def of(h: Column) -> Column:
