@@ -35,6 +35,9 @@ def words(x):
     return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
+def grams(x):
+    return [p[k : k + n] for p in (f" {w} " for w in x.split()) for n in (3, 4) for k in range(len(p) - n + 1)]
+
 
 def retrieved(spark, monkeypatch, terms, top_k):
     monkeypatch.setattr(tfidf, "HEAD_BLOCK", 7)
@@ -52,6 +55,11 @@ def test_words_over_several_tiles(spark, monkeypatch):
     assert got == plain(heads, targets, words, 6)
 
 
+def test_characters_over_several_tiles(spark, monkeypatch):
+    heads, targets, got = retrieved(spark, monkeypatch, tfidf.char_terms, 4)
+    assert got == plain(heads, targets, grams, 4)
+
+
 @pytest.mark.parametrize("n", [0, 1, 40])
 def test_ties_go_by_key_however_many(n):
     ids = [f"t{k:03}" for k in reversed(range(n))]
