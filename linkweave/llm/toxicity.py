@@ -246,7 +246,9 @@ def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """A field from at most TOXIC and CLEAN labelled rows, which is what reaches the driver."""
-    rows = labels.where((F.pmod(id_hash(F.col("doc_id")), F.lit(FOLDS)) != HELD_OUT) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), "toxic").distinct()
+    # Copies of the table may hold the label as another type.
+    toxic = F.col("toxic").cast("double")
+    rows = labels.where((F.pmod(id_hash(F.col("doc_id")), F.lit(FOLDS)) != HELD_OUT) & toxic.isin(0.0, 1.0)).select(F.col("doc_id").cast("long").alias("id"), toxic.cast("int").alias("toxic")).distinct()
     chosen = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, TOXIC), (0, CLEAN))]
     ids = {r.id: r.toxic for part in chosen for r in part.collect()}
     if not ids:
